@@ -1,6 +1,11 @@
 """Analytics over tables and streams of short text posts, written as Spark jobs."""
 
-from postlark.functions.text import created_at_text, keyword_text, parse_created_at, word_array
+from postlark.functions.text import (
+    created_at_text,
+    keyword_tokens,
+    parse_created_at,
+    word_array,
+)
 from postlark.operators.feed import chart_series, feed_lines
 from postlark.operators.flatten import flatten_posts
 from postlark.operators.keywords import keyword_filter, parse_keywords
@@ -34,7 +39,7 @@ __all__ = [
     "flatten_posts",
     "intake",
     "keyword_filter",
-    "keyword_text",
+    "keyword_tokens",
     "language_counts",
     "language_distribution",
     "most_frequent_words",

@@ -30,16 +30,12 @@ def word_array(text: Column) -> Column:
     return F.split(F.regexp_replace(text, NOT_A_WORD_CHARACTER, ""), r"\s+")
 
 
-def keyword_text(text: Column) -> Column:
-    """Normalise text so that a whole token can be found as ``' token '``.
+def keyword_tokens(text: Column) -> Column:
+    """Split text into lower-cased tokens for keyword matching.
 
-    Keeps letters, marks and digits of every script, lower-cases, and turns each
-    kind of white space into a blank, with one blank added at both ends.
+    Keeps letters, marks and digits of every script and the underscore.
     """
-    kept = F.lower(F.regexp_replace(text, NOT_A_KEYWORD_CHARACTER, ""))
-    for blank in WHITE_SPACE.replace(" ", ""):
-        kept = F.replace(kept, F.lit(blank), F.lit(" "))
-    return F.concat(F.lit(" "), kept, F.lit(" "))
+    return F.split(F.lower(F.regexp_replace(text, NOT_A_KEYWORD_CHARACTER, "")), r"\s+")
 
 
 def created_at_text(timestamp: Column) -> Column:

@@ -2,12 +2,14 @@
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlark.functions.text import WHITE_SPACE, keyword_text
+from postlark.functions.text import WHITE_SPACE, keyword_tokens
 
 
 def _kept(character: str) -> bool:
@@ -17,7 +19,7 @@ def _kept(character: str) -> bool:
 def parse_keywords(keywords: str | Sequence[str] | None) -> list[list[str]]:
     """Turn ``"free coffee, tea"`` into ``[["free", "coffee"], ["tea"]]``.
 
-    Terms lose the characters that ``keyword_text`` drops; empty terms and empty
+    Terms lose the characters that ``keyword_tokens`` drops; empty terms and empty
     phrases are skipped. Raises ``ValueError`` when nothing is left to look for.
     """
     given = [] if keywords is None else [keywords] if isinstance(keywords, str) else keywords
@@ -35,25 +37,40 @@ def parse_keywords(keywords: str | Sequence[str] | None) -> list[list[str]]:
     return phrases
 
 
+def _lowered(terms: Iterable[str]) -> list[Column]:
+    # Lowered by Spark, as the text is; Catalyst folds the calls to constants.
+    return [F.lower(F.lit(term)) for term in terms]
+
+
 def keyword_condition(text: Column, phrases: Sequence[Sequence[str]]) -> Column:
     """True where one phrase has all its terms as whole tokens, in any case.
 
-    The one-element array gives the normalised text a name inside the lambda. A
-    plain OR of conditions would make Catalyst repeat the normalisation for every
-    term, because filters do not share subexpressions.
+    Each token is looked up once in the set of all terms, so a list of hundreds
+    of keywords costs hardly more than a few. Phrases are then checked against
+    the few terms found.
     """
-    wanted = F.array(
-        *[
-            F.array(*[F.concat(F.lit(" "), F.lower(F.lit(term)), F.lit(" ")) for term in terms])
-            for terms in phrases
-        ]
-    )
-    return F.exists(
-        F.array(keyword_text(text)),
-        lambda tokens: F.exists(
-            wanted, lambda terms: F.forall(terms, lambda term: F.contains(tokens, term))
-        ),
-    )
+    single = [terms[0] for terms in phrases if len(terms) == 1]
+    several = [terms for terms in phrases if len(terms) > 1]
+    every = _lowered(sorted({term for terms in phrases for term in terms}))
+
+    def matches(found: Column) -> Column:
+        alternatives = []
+        if single:
+            alternatives.append(F.exists(found, lambda term: term.isin(*_lowered(single))))
+        if several:
+            wanted = F.array(*[F.array(*_lowered(terms)) for terms in several])
+            alternatives.append(
+                F.exists(
+                    wanted,
+                    lambda terms: F.forall(terms, lambda term: F.array_contains(found, term)),
+                )
+            )
+        return (F.size(found) > 0) & reduce(or_, alternatives)
+
+    found = F.array_distinct(F.filter(keyword_tokens(text), lambda token: token.isin(*every)))
+    # The one-element array gives ``found`` a name inside the lambda. Used directly
+    # it would be worked out again at each mention: filters share no subexpressions.
+    return F.exists(F.array(found), matches)
 
 
 def keyword_filter(

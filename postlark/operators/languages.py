@@ -32,9 +32,8 @@ def name_languages(counts: DataFrame, names: DataFrame) -> DataFrame:
 
     The caller supplies ``names``, so its size is not known here and the join
     carries no broadcast hint: Spark broadcasts it below
-    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise joins by shuffle, on
-    the key both sides are then already partitioned by. A code listed twice would
-    double its count; the smallest name is taken instead.
+    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise joins by shuffle. A
+    code listed twice would double its count; the smallest name is taken instead.
     """
     single = (
         names.where(F.col("code").isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from postlark.operators.feed import feed_lines
 from postlark.operators.languages import language_counts, name_languages, with_share
 from postlark.operators.words import top_words, word_counts
-from postlark.streaming.runs import ROCKSDB_STATE, settings
+from postlark.streaming.runs import ROCKSDB_STATE, settings, state_partitions
 from postlark.streaming.sinks import BatchFunction, replace_all, upsert, upsert_top_words
 from postlark.streaming.snapshots import SnapshotTable
 
@@ -33,19 +33,17 @@ def _start(
     checkpoint: str,
     trigger: dict,
     name: str | None = None,
-    state_partitions: int | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Start a query with state.
 
     ``trigger`` is such as ``{"processingTime": "1 second"}`` or
     ``{"availableNow": True}``; ``name`` is shown in Spark's UI and progress
-    events. ``state_partitions``, by default the session's shuffle partitions, is
-    fixed by the first start of a checkpoint.
+    events. ``partitions`` splits the state; the first start of a checkpoint fixes it.
     """
-    values = dict(ROCKSDB_STATE)
-    if state_partitions is not None:
-        values["spark.sql.shuffle.partitions"] = str(state_partitions)
-    with settings(result.sparkSession, values):
+    spark = result.sparkSession
+    split = {"spark.sql.shuffle.partitions": str(partitions or state_partitions(spark))}
+    with settings(spark, ROCKSDB_STATE | split):
         return (
             _writer(result, checkpoint, trigger, name)
             .outputMode(mode)

@@ -53,3 +53,16 @@ def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """How many parts the state of a new query gets.
+
+    The session's shuffle partitions decide, as usual. A local session takes no
+    more than it has cores: the default of 200 would open 200 state stores on one
+    machine.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        return min(partitions, spark.sparkContext.defaultParallelism)
+    return partitions

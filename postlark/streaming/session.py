@@ -133,7 +133,7 @@ class PostSession:
             self.names,
             self._language_table,
             trigger=language_trigger,
-            state_partitions=self.state_partitions,
+            partitions=self.state_partitions,
             **self._run("languages"),
         )
         self.queries["words"] = reports.run_top_words(
@@ -141,7 +141,7 @@ class PostSession:
             self._word_table,
             k=self.k,
             trigger=word_trigger,
-            state_partitions=self.state_partitions,
+            partitions=self.state_partitions,
             **self._run("words"),
         )
         self.queries["feed"] = reports.run_feed(
