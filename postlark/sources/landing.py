@@ -1,8 +1,7 @@
 """The CSV landing directory: headerless files of ``schemas.POST`` records.
 
 Text may hold line breaks, quotes, commas and outer blanks; the options below
-bring all of them back unchanged. An empty string is written as an empty field
-and read as NULL. A file with multi-line records cannot be split between tasks,
+bring all of them back unchanged. An empty field, quoted or not, is read as NULL. A file with multi-line records cannot be split between tasks,
 so the writers limit the records per file; Parquet or JSON suit large volumes
 better.
 """
@@ -15,14 +14,12 @@ from postlark.schemas import POST
 
 RECORDS_PER_FILE = 100_000
 
-_FORMAT = {
-    "sep": ",",
-    "escape": '"',
-    "ignoreLeadingWhiteSpace": "false",
-    "ignoreTrailingWhiteSpace": "false",
-}
-_WRITE = {**_FORMAT, "emptyValue": ""}
-_READ = {**_FORMAT, "multiLine": "true"}
+# Quoting every field protects outer blanks and lone carriage returns. Fixing the
+# line separator keeps Spark from guessing it from the first text with a line
+# break; in files with CRLF lines, the rest is blank space after the last field.
+_FORMAT = {"sep": ",", "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": "false"}
+_WRITE = {**_FORMAT, "quoteAll": "true", "ignoreTrailingWhiteSpace": "false"}
+_READ = {**_FORMAT, "multiLine": "true", "ignoreTrailingWhiteSpace": "true"}
 
 
 def write_landing(
