@@ -9,10 +9,11 @@ text replaces one call per token (measured: about half the time).
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Regex character classes. \w and \s are the ASCII classes here.
-# Naming \w before the Unicode classes lets the common ASCII letter match first.
-NOT_A_WORD_CHARACTER = r"[^\w\s]+"
-NOT_A_KEYWORD_CHARACTER = r"[^\w\s\p{L}\p{M}\p{N}]+"
+# Regex character classes. \W and \S are complements of the ASCII
+# classes. They are intersections of complements, not one negated union, for
+# speed: with two different unions at work in one task, matching took twice as long.
+NOT_A_WORD_CHARACTER = r"[\W&&\S]+"
+NOT_A_KEYWORD_CHARACTER = r"[\W&&\S&&\P{L}&&\P{M}&&\P{N}]+"
 WHITE_SPACE = "\t\n\x0b\f\r "
 
 # How a record prints its creation time.
