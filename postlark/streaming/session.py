@@ -160,16 +160,22 @@ class PostSession:
             query.awaitTermination()
 
     def stop(self, drain: bool = False) -> None:
-        """Stop all queries; with ``drain``, first report on everything landed."""
+        """Stop all queries; with ``drain``, first report on everything landed.
+
+        Also to be called after a session started with ``once`` has ended.
+        """
         intake = self.queries.get("intake")
         if intake is not None:
             intake.stop()
-        for name, query in self.queries.items():
-            if drain and name != "intake" and query.isActive:
-                query.processAllAvailable()
-            query.stop()
-        if self._signal:
-            self.spark.streams.removeListener(self._signal)
+        try:
+            for name, query in self.queries.items():
+                if drain and name != "intake" and query.isActive:
+                    query.processAllAvailable()
+        finally:
+            for query in self.queries.values():
+                query.stop()
+            if self._signal:
+                self.spark.streams.removeListener(self._signal)
 
     def languages(self) -> DataFrame:
         """Posts per language so far: ``language, tweet_count, share``."""
