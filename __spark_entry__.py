@@ -56,9 +56,9 @@ def language_names(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {NAMES_SQL} AS names(code, name)")
 
 
-def partly_unknown_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def partly_unknown_languages(documents: DataFrame) -> DataFrame:
     """Documents of which some have no language and some are marked ``und``."""
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.when(F.col("source") == "src0", None)
         .when(F.col("source") == "src1", "und")
         .otherwise(F.col("lang"))
@@ -66,6 +66,21 @@ def partly_unknown_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql_language_counts(spark: SparkSession, posts: DataFrame, view: str) -> DataFrame:
+    """The language counts as a user writes them in SQL, on a table or a stream."""
+    pl.register_posts(posts.withColumnRenamed("lang", "Language"), view)
+    return spark.sql(
+        f"""
+        SELECT CASE WHEN language IS NULL OR language = 'und' THEN 'Undetermined'
+                    ELSE language END AS language,
+               count(language) AS tweet_count
+        FROM {view}
+        GROUP BY language
+        HAVING tweet_count > 0
+        """
+    )
+
+
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as nested posts; some lack a place, some only its coordinates."""
     k = F.from_json("props", "k int")["k"]
@@ -119,23 +134,13 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_counts_undetermined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.language_counts(partly_unknown_languages(spark, sf_dir), "lang")
+    posts = partly_unknown_languages(table(spark, sf_dir, "documents"))
+    return pl.language_counts(posts, "lang")
 
 
 def language_counts_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pl.register_posts(
-        partly_unknown_languages(spark, sf_dir).withColumnRenamed("lang", "Language"), "posts"
-    )
-    return spark.sql(
-        """
-        SELECT CASE WHEN language IS NULL OR language = 'und' THEN 'Undetermined'
-                    ELSE language END AS language,
-               count(language) AS tweet_count
-        FROM posts
-        GROUP BY language
-        HAVING tweet_count > 0
-        """
-    )
+    posts = partly_unknown_languages(table(spark, sf_dir, "documents"))
+    return sql_language_counts(spark, posts, "posts")
 
 
 def language_names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +258,16 @@ def stream_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "language-counts", LANGUAGE_COUNTS, start)
 
 
+def stream_language_counts_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def start(documents, result, checkpoint):
+        counts = sql_language_counts(
+            spark, partly_unknown_languages(documents), "streamed_posts"
+        )
+        return reports.run_complete(counts, result, checkpoint, ONCE)
+
+    return _run(spark, sf_dir, "language-counts-sql", LANGUAGE_COUNTS, start)
+
+
 def stream_language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
         names = language_names(spark)
@@ -441,6 +456,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "feed_lines": feed_lines,
         "csv_landing_roundtrip": csv_landing_roundtrip,
         "stream_language_counts": stream_language_counts,
+        "stream_language_counts_sql": stream_language_counts_sql,
         "stream_language_names": stream_language_names,
         "stream_language_distribution": stream_language_distribution,
         "upsert_language_counts": upsert_language_counts,
@@ -513,6 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "feed_lines": feed,
         "csv_landing_roundtrip": documents,
         "stream_language_counts": counts,
+        "stream_language_counts_sql": unknown,
         "stream_language_names": named,
         "stream_language_distribution": distribution,
         "upsert_language_counts": counts,

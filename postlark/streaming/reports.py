@@ -52,6 +52,13 @@ def _start(
         )
 
 
+def run_complete(
+    result: DataFrame, table: SnapshotTable, checkpoint: str, trigger: dict, **start
+) -> StreamingQuery:
+    """Keep the whole result of any aggregation over a stream, such as one in SQL."""
+    return _start(result, "complete", replace_all(table), checkpoint, trigger, **start)
+
+
 def run_language_counts(
     posts: DataFrame,
     table: SnapshotTable,
@@ -61,8 +68,7 @@ def run_language_counts(
     **start,
 ) -> StreamingQuery:
     """Replace the snapshot by the counts of all languages seen so far."""
-    counts = language_counts(posts, language)
-    return _start(counts, "complete", replace_all(table), checkpoint, trigger, **start)
+    return run_complete(language_counts(posts, language), table, checkpoint, trigger, **start)
 
 
 def run_language_names(
@@ -76,7 +82,7 @@ def run_language_names(
 ) -> StreamingQuery:
     """Counts with language names; the lookup join is part of the streaming plan."""
     named = name_languages(language_counts(posts, language), names)
-    return _start(named, "complete", replace_all(table), checkpoint, trigger, **start)
+    return run_complete(named, table, checkpoint, trigger, **start)
 
 
 def run_language_distribution(
@@ -121,8 +127,7 @@ def run_word_counts(
     **start,
 ) -> StreamingQuery:
     """Replace the snapshot by the totals of all words, at the cost of a full copy per batch."""
-    counts = word_counts(posts, text)
-    return _start(counts, "complete", replace_all(table), checkpoint, trigger, **start)
+    return run_complete(word_counts(posts, text), table, checkpoint, trigger, **start)
 
 
 def run_top_words_complete(
@@ -136,7 +141,7 @@ def run_top_words_complete(
 ) -> StreamingQuery:
     """Sort and limit in the streaming plan; reads the whole state at every trigger."""
     top = top_words(word_counts(posts, text), k)
-    return _start(top, "complete", replace_all(table), checkpoint, trigger, **start)
+    return run_complete(top, table, checkpoint, trigger, **start)
 
 
 def run_top_words(

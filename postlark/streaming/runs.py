@@ -8,12 +8,14 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 # Names of Spark settings. RocksDB keeps state off the heap and
-# uploads the changes of a batch instead of the whole state.
+# uploads the changes of a batch instead of the whole state. Not counting its rows
+# saves a second lookup of every key that is written.
 ROCKSDB_STATE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 

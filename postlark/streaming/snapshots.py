@@ -41,21 +41,26 @@ class SnapshotTable:
         self.rows_per_file = rows_per_file
         self._directory = Directory(spark, path)
 
+    def _written(self) -> list[int]:
+        found = (_BATCH.fullmatch(name) for name in self._directory.names())
+        return sorted(int(match.group(1)) for match in found if match)
+
+    def _is_committed(self, batch_id: int) -> bool:
+        return self._directory.exists(f"batch_id={batch_id}/{_COMMITTED}")
+
     def committed(self) -> list[int]:
         """The batches with a complete snapshot, oldest first."""
-        found = (_BATCH.fullmatch(name) for name in self._directory.names())
-        batches = sorted(int(match.group(1)) for match in found if match)
-        return [b for b in batches if self._directory.exists(f"batch_id={b}/{_COMMITTED}")]
+        return [batch for batch in self._written() if self._is_committed(batch)]
 
     def latest(
         self, before: int | None = None, spark: SparkSession | None = None
     ) -> DataFrame | None:
         """The newest snapshot, or the newest one older than batch ``before``."""
-        batches = [b for b in self.committed() if before is None or b < before]
-        if not batches:
-            return None
-        reader = (spark or self.spark).read.schema(self.schema)
-        return reader.parquet(f"{self.path}/batch_id={batches[-1]}")
+        for batch in reversed(self._written()):
+            if (before is None or batch < before) and self._is_committed(batch):
+                reader = (spark or self.spark).read.schema(self.schema)
+                return reader.parquet(f"{self.path}/batch_id={batch}")
+        return None
 
     def read(self) -> DataFrame:
         """The newest snapshot; no rows before there is one."""
@@ -73,5 +78,5 @@ class SnapshotTable:
             .write.mode("overwrite")
             .parquet(f"{self.path}/batch_id={batch_id}")
         )
-        for old in self.committed()[: -self.keep]:
+        for old in self._written()[: -self.keep]:
             self._directory.remove(f"batch_id={old}")

@@ -78,3 +78,21 @@ def test_reads_files_written_elsewhere_by_glob(spark, tmp_path):
         ("Ann", "en", 'hello "you", there\nsecond line', False),
         ("Bob", None, "bye", True),
     ]
+
+
+def test_stream_over_a_glob(spark, tmp_path):
+    for name, user in [("data-0", "Ann"), ("data-1", "Bob"), ("other", "Eve")]:
+        (tmp_path / f"{name}.csv").write_text(f"{user},1,now,0,5,0,en,,,0,some text,false\r\n")
+    posts = pl.read_landing(spark, f"{tmp_path}/data*.csv", stream=True, maxFilesPerTrigger=1)
+    query = (
+        posts.writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .trigger(availableNow=True)
+        .format("parquet")
+        .start(f"{tmp_path}/result")
+    )
+    assert query.awaitTermination(60)
+    result = spark.read.parquet(f"{tmp_path}/result")
+    assert sorted((r.UserName, r.isRetweet) for r in result.collect()) == [
+        ("Ann", False),
+        ("Bob", False),
+    ]
