@@ -433,7 +433,33 @@ def entry(spark: SparkSession) -> DataFrame:
     return session_top_words(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators, where they are installed."""
+    try:
+        import corpus_pipeline
+        from postlark.llm.oracles import oracle_sql as more_sql
+        from postlark.llm.queries import queries as more_queries
+    except ModuleNotFoundError as error:
+        if (error.name or "") != "corpus_pipeline" and not (error.name or "").startswith(
+            "postlark.llm"
+        ):
+            raise
+        return {}, {}
+    sql = more_sql()
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return more_queries() | {"pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | _training_data()[0]
+
+
+def oracle_sql() -> dict[str, str]:
+    return core_oracle_sql() | _training_data()[1]
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "language_counts": language_counts,
         "language_counts_undetermined": language_counts_undetermined,
@@ -471,7 +497,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     counts = counts_sql("documents")
     unknown = counts_sql(UNKNOWN_LANGUAGES)
     distribution = names_sql("documents")

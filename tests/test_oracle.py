@@ -27,10 +27,10 @@ def _sorted(columns, rows):
     return sorted(rows, key=lambda row: [(value is not None, str(value)) for value in row])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.core_queries()))
 def test_query_equals_sql(spark, oracle, name):
-    frame = entry.queries()[name](spark, SF_DIR)
-    answer = oracle.execute(entry.oracle_sql()[name])
+    frame = entry.core_queries()[name](spark, SF_DIR)
+    answer = oracle.execute(entry.core_oracle_sql()[name])
     columns = [column[0] for column in answer.description]
     assert sorted(frame.columns) == sorted(columns)
     expected = _sorted(columns, answer.fetchall())
@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, oracle, name):
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.core_queries().keys() == entry.core_oracle_sql().keys()
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = [name for name in entry.queries() if not name.startswith(("stream", "post", "upsert"))]
+BATCH = [name for name in entry.core_queries() if not name.startswith(("stream", "post", "upsert"))]
 
 
 def plan(frame, mode="simple"):
@@ -13,7 +13,7 @@ def plan(frame, mode="simple"):
 
 
 def initial(spark, name):
-    return plan(entry.queries()[name](spark, SF_DIR))
+    return plan(entry.core_queries()[name](spark, SF_DIR))
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -50,7 +50,7 @@ def test_small_lookup_is_broadcast_and_a_large_one_is_not(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        frame = entry.queries()["language_distribution"](spark, SF_DIR)
+        frame = entry.core_queries()["language_distribution"](spark, SF_DIR)
         assert "SortMergeJoin" in plan(frame)
         assert {row.language for row in frame.collect()} == {"English", "French", "German", "es"}
     finally:
@@ -58,7 +58,7 @@ def test_small_lookup_is_broadcast_and_a_large_one_is_not(spark):
 
 
 def test_shares_reuse_the_exchange_of_the_counts(spark):
-    frame = entry.queries()["language_distribution"](spark, SF_DIR)
+    frame = entry.core_queries()["language_distribution"](spark, SF_DIR)
     frame.collect()
     final = plan(frame).split("Initial Plan")[0]
     assert "ReusedExchange" in final
@@ -82,7 +82,7 @@ def test_filter_runs_before_rows_are_spread(spark):
 
 
 def test_word_expressions_stay_in_generated_code(spark):
-    frame = entry.queries()["word_counts"](spark, SF_DIR)
+    frame = entry.core_queries()["word_counts"](spark, SF_DIR)
     frame.collect()
     final = plan(frame).split("Initial Plan")[0]
     for node in ("Generate", "Filter", "Project", "HashAggregate"):
