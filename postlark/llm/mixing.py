@@ -30,7 +30,7 @@ BUDGET_HALVES = 3  # 150 %
 MOST_REPEATS = 2
 
 HASH_BITS = 60
-LEVEL_BITS = 15
+LEVEL_BITS = 10
 
 
 def document_hash(doc_id: Column, text: Column) -> Column:

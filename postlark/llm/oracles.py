@@ -5,6 +5,22 @@ from postlark.llm.queries import PROBE_ID, PROBE_TEXT
 # Words of a text column; the empty pattern match of a NULL text gives none.
 WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
+WARC = r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+hashed AS (
+    SELECT page_id, strlen(payload) AS n, sha1(payload) AS hex,
+           max(page_id) OVER (PARTITION BY payload) AS last
+    FROM payloads)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT)
+                 >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM hashed
+"""
+
 MIX = rf"""
 WITH sizes AS (
     SELECT doc_id, source, len({WORDS.format(text="text")}) AS size,
@@ -80,6 +96,7 @@ FROM joined
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_arc_to_warc": WARC,
         "op4_hash_mix": MIX,
         "op8_prefix_targets": CHAT,
     }

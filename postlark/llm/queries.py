@@ -3,14 +3,29 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import chat, mixing
+import public_tokenizers
+from postlark.llm import archives, chat, mixing, token_files
 from postlark.llm.common import stored, table
+from postlark.streaming.runs import new_run
+
+# The tokenizer files of this machine; every executor has them at the same place.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 # Fixed value: a conversation whose texts imitate the template.
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 PROBE_ID = -7
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_run(spark, "archives")
+    arc = archives.write_arc(table(spark, sf_dir, "pages"), f"{folder}/arc")
+    warc = archives.convert_arc(arc, f"{folder}/warc")
+    records = archives.read_warc(warc).where(F.col("record_type").isin("response", "revisit"))
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,8 +42,16 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_run(spark, "tokens")
+    documents = table(spark, sf_dir, "documents")
+    return token_files.read_tokens(token_files.write_tokens(documents, folder, WORD_BPE))
+
+
 def queries() -> dict:
     return {
+        "op1_arc_to_warc": op1_arc_to_warc,
         "op4_hash_mix": op4_hash_mix,
         "op8_prefix_targets": op8_prefix_targets,
+        "op10_token_files": op10_token_files,
     }
