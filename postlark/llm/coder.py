@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Fixed values of the format.
-SLOTS = 256
+SLOTS = 128
 STATES = 32
 RATE = 5
 HALF = 1 << 16

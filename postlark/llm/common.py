@@ -1,5 +1,6 @@
 """Helpers of the training-data operators: stored tables, word dictionaries, byte classes."""
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from postlark.streaming.runs import new_run
 WORD = r"[^\x20\x09-\x0D]+"
 
 # How much text a Python step works on at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,20 @@ def byte_table(keep, lower: bool = True) -> bytes:
 LOWER_WORDS = byte_table(lambda byte: not (byte == 0x20 or 0x09 <= byte <= 0x0D))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES):
+def release() -> None:
+    """Give memory that is free inside this process back to the machine.
+
+    Two workers and a JVM share an executor's memory, so what one worker's allocators
+    keep for later is missing elsewhere.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", size: int = SLICE_BYTES):
     """Cut a batch into runs of rows holding about ``size`` bytes of text.
 
     A text longer than that is a run of its own; none is ever cut.
@@ -74,6 +88,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
         yield batch.slice(start, stop - start)
+        release()
         start = stop
 
 
@@ -106,30 +121,16 @@ def dictionary_words(texts: pa.Array, translation: bytes | None = LOWER_WORDS) -
         len(texts), ends, pa.py_buffer(raw), offset=texts.offset
     )
     lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
     full = pc.not_equal(flat, "")
-    row = row[full.to_numpy(zero_copy_only=False)]
+    kept = np.zeros(len(flat) + 1, np.int64)
+    np.cumsum(full.to_numpy(zero_copy_only=False), out=kept[1:])
+    offsets = kept[bounds - bounds[0]]
     coded = flat.filter(full).dictionary_encode()
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.bincount(row, minlength=len(texts)), out=offsets[1:])
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
     return Words(codes, coded.dictionary, offsets)
 
 
-def gather(offsets: np.ndarray, values: np.ndarray, codes: np.ndarray):
-    """Concatenate ``values[offsets[c]:offsets[c + 1]]`` for all codes.
-
-    Returns the values and the length of each piece.
-    """
-    lengths = np.diff(offsets)[codes]
-    total = int(lengths.sum())
-    if not total:
-        return values[:0], lengths
-    starts = np.repeat(offsets[codes] - (np.cumsum(lengths) - lengths), lengths)
-    return values[starts + np.arange(total)], lengths
-
-
 def concat_range(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``[s, s+1, ... s+n-1]`` for every start ``s`` and length ``n``, joined."""
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(

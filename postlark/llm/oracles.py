@@ -21,6 +21,36 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM hashed
 """
 
+LEAKS = r"""
+WITH lower_items AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+texts AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM lower_items WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+places AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM texts, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT r, p.n, i, item_id FROM places p JOIN windows v USING (phrase) WHERE p.n = v.n),
+hit AS (
+    SELECT r, count(DISTINCT k) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + n)) AS k FROM found) GROUP BY r),
+named AS (
+    SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
 MIX = rf"""
 WITH sizes AS (
     SELECT doc_id, source, len({WORDS.format(text="text")}) AS size,
@@ -98,5 +128,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": WARC,
         "op4_hash_mix": MIX,
+        "op7_fm_index": LEAKS,
         "op8_prefix_targets": CHAT,
     }

@@ -34,8 +34,8 @@ from postlark.llm.tokens import WordEncoder
 
 # Fixed values of the format.
 MAGIC = b"PLTOKEN1"
-BLOCK_IDS = 1024
-GROUP_IDS = 2 << 20
+BLOCK_IDS = 256
+GROUP_IDS = 1 << 20
 END_ID = 2
 
 _HEAD = struct.Struct("<8sIIqqq")

@@ -1,25 +1,43 @@
 """Encode texts with a public tokenizer, each different word once."""
 
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from postlark.llm.common import LOWER_WORDS, byte_table, dictionary_words, gather
+from postlark.llm.common import LOWER_WORDS, byte_table, concat_range, dictionary_words
 
 # How many words a Python worker remembers. Words met later are encoded when they occur.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+# The library's results are large objects, so few words are given to it at once.
+AT_ONCE = 10_000
 
 _WORDS = byte_table(lambda byte: not (byte == 0x20 or 0x09 <= byte <= 0x0D), lower=False)
 
 
+class _Known:
+    """The words a worker has encoded so far."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _loaded(path: str):
+    from tokenizers import Tokenizer, normalizers
 
-    return Tokenizer.from_file(path), {}
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    return whole, plain, _Known()
 
 
 class WordEncoder:
@@ -28,37 +46,60 @@ class WordEncoder:
     Such a tokenizer gives a text the ids of its words, one after the other, so each
     different word of a batch is encoded once by the library. The tokenizer lower-cases,
     so words are lower-cased before they are compared, unless a text may hold a special
-    token, whose case counts.
+    token, whose case counts. Normalizing changes no lower-case ASCII word, so it is
+    skipped for those.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path)
+        self.whole, self.plain, self.known = _loaded(path)
+
+    def _library(self, words: pa.Array, lowered: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that are not known yet."""
+        ascii_only = pc.string_is_ascii(words).to_numpy(zero_copy_only=False) & lowered
+        found = np.empty(len(words), object)
+        for tokenizer, chosen in ((self.plain, ascii_only), (self.whole, ~ascii_only)):
+            places = np.flatnonzero(chosen)
+            for part in np.array_split(places, -(-len(places) // AT_ONCE)) if len(places) else ():
+                texts = words.take(pa.array(part)).to_pylist()
+                encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                for i, encoding in zip(part.tolist(), encoded):
+                    found[i] = np.array(encoding.ids, np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        return sizes, ids
+
+    def words(self, dictionary: pa.Array, counts: np.ndarray, lowered: bool = True):
+        """Starts and sizes of the different words' ids, and those ids.
 
-    def words(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets and ids of the different words."""
-        words = dictionary.to_pylist()
+        New words are remembered while there is room.
+        """
         known = self.known
-        found = [known.get(word) for word in words]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        encoded = self.tokenizer.encode_batch_fast(
-            [words[i] for i in missing], add_special_tokens=False
-        )
-        room = CACHED_WORDS - len(known)
-        for place, (i, encoding) in enumerate(zip(missing, encoded)):
-            found[i] = array("I", encoding.ids).tobytes()
-            if place < room:
-                known[words[i]] = found[i]
-        offsets = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(ids) >> 2 for ids in found], out=offsets[1:])
-        return offsets, np.frombuffer(b"".join(found), "<u4")
+        at = pc.index_in(dictionary, value_set=known.words)
+        new = pc.is_null(at)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
+        fresh = dictionary.filter(new)
+        new = new.to_numpy(zero_copy_only=False)
+        sizes, ids = self._library(fresh, lowered)
+        starts_all, sizes_all = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        starts_all[~new], sizes_all[~new] = known.starts[at[~new]], known.sizes[at[~new]]
+        starts_all[new] = len(known.ids) + np.cumsum(sizes) - sizes
+        sizes_all[new] = sizes
+        values = np.concatenate([known.ids, ids])
+        # The more frequent ones first, as there may not be room for all.
+        often = np.argsort(-counts[new], kind="stable")[: max(CACHED_WORDS - len(known.words), 0)]
+        if len(often) and lowered:
+            places = concat_range(starts_all[new][often] - len(known.ids), sizes[often])
+            known.add(fresh.take(pa.array(often)), sizes[often], ids[places])
+        return starts_all, sizes_all, values
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and the number of ids of each text."""
-        special = pc.any(pc.match_substring(texts, "<|")).as_py()
-        words = dictionary_words(texts, _WORDS if special else LOWER_WORDS)
-        offsets, values = self.words(words.dictionary)
-        ids, lengths = gather(offsets, values, words.codes)
+        lowered = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        words = dictionary_words(texts, LOWER_WORDS if lowered else _WORDS)
+        counts = np.bincount(words.codes, minlength=len(words.dictionary))
+        starts, sizes, values = self.words(words.dictionary, counts, lowered)
+        lengths = sizes[words.codes]
+        ids = values[concat_range(starts[words.codes], lengths)]
         ends = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=ends[1:])
-        ends = ends[words.offsets]
-        return ids, np.diff(ends)
+        return ids, np.diff(ends[words.offsets])
