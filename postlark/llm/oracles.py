@@ -21,6 +21,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM hashed
 """
 
+NEAR = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+          FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+ties AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(start, node) AS (
+    SELECT doc_id, doc_id FROM texts
+    UNION SELECT start, b FROM reach JOIN ties ON node = a)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id,
+       t.doc_id = r.component_id AS kept
+FROM texts t LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT start AS doc_id, min(node) AS component_id FROM reach GROUP BY start) r USING (doc_id)
+"""
+
 LEAKS = r"""
 WITH lower_items AS (
     SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all(translate(
@@ -128,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": WARC,
         "op4_hash_mix": MIX,
+        "op6_odd_sketches": NEAR,
         "op7_fm_index": LEAKS,
         "op8_prefix_targets": CHAT,
     }

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlark.llm import archives, chat, decontaminate, mixing, token_files
+from postlark.llm import archives, chat, decontaminate, mixing, near_dup, token_files
 from postlark.llm.common import stored, table
 from postlark.streaming.runs import new_run
 
@@ -30,6 +30,10 @@ def op4_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digests(decontaminate.contamination(documents, benchmark))
@@ -57,6 +61,7 @@ def queries() -> dict:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
         "op4_hash_mix": op4_hash_mix,
+        "op6_odd_sketches": op6_odd_sketches,
         "op7_fm_index": op7_fm_index,
         "op8_prefix_targets": op8_prefix_targets,
         "op10_token_files": op10_token_files,
