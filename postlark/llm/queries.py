@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlark.llm import archives, chat, decontaminate, mixing, near_dup, token_files
+from postlark.llm import archives, attribution, chat, decontaminate, mixing, near_dup, quality, token_files
 from postlark.llm.common import stored, table
 from postlark.streaming.runs import new_run
 
 # The tokenizer files of this machine; every executor has them at the same place.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # Fixed value: a conversation whose texts imitate the template.
 PROBE_TEXT = "\\### Assistant: </turn> ok"
@@ -26,6 +27,11 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = attribution.section_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return counted.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op4_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,11 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted)
 
 
+def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_scores(documents, labels)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_run(spark, "tokens")
     documents = table(spark, sf_dir, "documents")
@@ -60,9 +71,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
+        "op3_section_tokens": op3_section_tokens,
         "op4_hash_mix": op4_hash_mix,
         "op6_odd_sketches": op6_odd_sketches,
         "op7_fm_index": op7_fm_index,
         "op8_prefix_targets": op8_prefix_targets,
+        "op9_fourier_quality": op9_fourier_quality,
         "op10_token_files": op10_token_files,
     }

@@ -1,6 +1,8 @@
 """Encode texts with a public tokenizer, each different word once."""
 
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,12 @@ AT_ONCE = 10_000
 _WORDS = byte_table(lambda byte: not (byte == 0x20 or 0x09 <= byte <= 0x0D), lower=False)
 
 
+# Words of lower-case Latin letters and final marks. Their letters and their marks are two
+# pieces to the tokenizer, and normalizing changes neither.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))).replace("\xf7", "")
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)").fullmatch
+
+
 class _Known:
     """The words a worker has encoded so far."""
 
@@ -33,40 +41,57 @@ class _Known:
 
 @lru_cache(maxsize=2)
 def _loaded(path: str):
-    from tokenizers import Tokenizer, normalizers
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.normalizer = normalizers.Sequence([])
-    return whole, plain, _Known()
+    spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    letters = {ord(letter): spell(letter)[0][0] for letter in _LETTERS}
+    return Tokenizer.from_file(path), letters, {"": []}, _Known()
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that never joins characters across white space.
+    """Encodes whole texts with a byte-level tokenizer whose tokens never span white space.
 
     Such a tokenizer gives a text the ids of its words, one after the other, so each
     different word of a batch is encoded once by the library. The tokenizer lower-cases,
     so words are lower-cased before they are compared, unless a text may hold a special
-    token, whose case counts. Normalizing changes no lower-case ASCII word, so it is
-    skipped for those.
+    token, whose case counts. Simple words go to the library's merges directly, without
+    its search for pieces.
     """
 
     def __init__(self, path: str):
-        self.whole, self.plain, self.known = _loaded(path)
+        self.tokenizer, self.letters, self.marks, self.known = _loaded(path)
+
+    def _marks(self, marks: str) -> list[int]:
+        if marks not in self.marks and len(self.marks) < AT_ONCE:
+            self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        found = self.marks.get(marks)
+        return self.tokenizer.encode(marks, add_special_tokens=False).ids if found is None else found
 
     def _library(self, words: pa.Array, lowered: bool) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words that are not known yet."""
-        ascii_only = pc.string_is_ascii(words).to_numpy(zero_copy_only=False) & lowered
-        found = np.empty(len(words), object)
-        for tokenizer, chosen in ((self.plain, ascii_only), (self.whole, ~ascii_only)):
-            places = np.flatnonzero(chosen)
-            for part in np.array_split(places, -(-len(places) // AT_ONCE)) if len(places) else ():
-                texts = words.take(pa.array(part)).to_pylist()
-                encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                for i, encoding in zip(part.tolist(), encoded):
-                    found[i] = np.array(encoding.ids, np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.concatenate([np.zeros(0, np.uint32), *found])
-        return sizes, ids
+        sizes, parts = [], []
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        for start in range(0, len(words), AT_ONCE):
+            texts = words.slice(start, AT_ONCE).to_pylist()
+            found: list = [None] * len(texts)
+            others = []
+            for i, text in enumerate(texts):
+                simple = _SIMPLE(text) if lowered else None
+                if simple:
+                    ids = [token.id for token in merge(simple[1].translate(letters))]
+                    found[i] = ids + self._marks(simple[2]) if simple[2] else ids
+                else:
+                    others.append(i)
+            encoded = self.tokenizer.encode_batch_fast(
+                [texts[i] for i in others], add_special_tokens=False
+            )
+            for i, encoding in zip(others, encoded):
+                found[i] = encoding.ids
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum()))
+            parts.append(ids)
+        none = np.zeros(0, np.uint32)
+        return np.concatenate([none.astype(np.int64), *sizes]), np.concatenate([none, *parts])
 
     def words(self, dictionary: pa.Array, counts: np.ndarray, lowered: bool = True):
         """Starts and sizes of the different words' ids, and those ids.

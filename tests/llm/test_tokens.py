@@ -51,7 +51,7 @@ def test_null_ids_come_first_and_no_rows_give_none(spark, tmp_path):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=60), min_size=1, max_size=6))
+@given(st.lists(st.text(max_size=60) | st.text("abeé\xdf\xff\xf7 .,!?;:'sİÉ\u0301\n", max_size=30), min_size=1, max_size=6))
 def test_word_encoding_equals_the_library(texts):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     ids, counts = WordEncoder(WORD_BPE).encode(pa.array(texts))
