@@ -9,11 +9,12 @@ pairs that are clearly too different are dropped without reading their texts. Wh
 left is compared on the full sets; only that decides.
 
 Which pairs are compared: first every class with the least class of each of its buckets.
-The links found give components. Within a bucket whose classes are then in different
-components, the remaining pairs across components are compared too, the closest by
-sketch first, in rounds, until none is left. Pairs inside a component need no look, so a
-group of thousands of near copies costs as many comparisons as it has members and band
-keys, not its square. Large buckets are split to blocks that meet pairwise.
+The links found give components. Buckets whose classes are then in different components
+are looked at again with their texts: classes of different components that are close by
+sketch are compared on their sets, until what is similar is joined. Pairs inside a
+component need no look, and only joining links are given out, so a group of thousands of
+near copies makes as many rows as it has members and band keys, not its square. Large
+buckets are split to blocks that meet pairwise.
 
 A pair of similarity 0.75 shares no band with a probability of 5e-6, and is dropped by
 its sketch with one of about 1e-6; links are otherwise exact.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlark.llm.common import LOWER_WORDS, dictionary_words, mix64, slices, stored
+from postlark.llm.common import LOWER_WORDS, concat_range, dictionary_words, mix64, slices, stored
 from postlark.llm.components import components
 
 SHINGLE = 5
@@ -44,8 +45,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 # A pair at the least similarity differs in 57 bits on average; this is 4.8 deviations more.
 MOST_BITS = 100
-BLOCK = 4096
-PER_ROUND = 256
+# A block of a bucket: classes, and shingles of their texts.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,73 +185,105 @@ def linked(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> DataFram
                         if (node_of(one), node_of(other)) != named:  # another row of that id
                             keep.append(False)
                             continue
-                        common = len(np.intersect1d(one, other, assume_unique=True))
-                        union = len(one) + len(other) - common
-                        keep.append(100 * common >= LEAST_PERCENT * union)
+                        keep.append(_alike(one, other))
                     yield piece.select(["a", "b"]).cast(schema).filter(pa.array(keep, pa.bool_()))
 
     return with_both.mapInArrow(check, "a binary, b binary").distinct()
 
 
-def _across(members: DataFrame, round_: int) -> DataFrame:
-    """Pairs within buckets, across components: ``a, b, more``.
+def _alike(one: np.ndarray, other: np.ndarray) -> bool:
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * common >= LEAST_PERCENT * (len(one) + len(other) - common)
 
-    Of every class the ``PER_ROUND`` closest partners of this round; ``more`` tells that
-    there are others left.
+
+def forest(sets: list[np.ndarray], sketch: np.ndarray, root: np.ndarray, side: np.ndarray | None):
+    """Links between sets of different components, as few as join what is similar.
+
+    ``root`` numbers the component of each set; with ``side`` only sets of different
+    sides are compared. A set is compared with those that are close by sketch and not
+    joined to it yet: a few one by one, many by counting in lists of who has a shingle.
     """
-    sizes = members.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    mixed = members.join(sizes.where("size > 2 AND low != high"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = mixed.select(
-        "key",
-        "node",
-        "root",
-        "sketch",
-        own.alias("own"),
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
-    ).select(
-        "key",
-        F.least("own", "other").alias("one"),
-        F.greatest("own", "other").alias("two"),
-        "own",
-        "node",
-        "root",
-        "sketch",
-    )
+    parent = np.arange(int(root.max()) + 1)
+    sizes = np.array([len(one) for one in sets])
+    lists = None
+    for i in range(len(sets) - 1):
+        near = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+        near &= parent[root[i + 1 :]] != parent[root[i]]
+        if side is not None:
+            near &= side[i + 1 :] != side[i]
+        near = i + 1 + np.flatnonzero(near)
+        if len(near) > 16:
+            if lists is None:
+                _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+                owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+                heads = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+                lists, starts = ids, np.cumsum(sizes) - sizes
+            mine = lists[starts[i] : starts[i] + sizes[i]]
+            holders = owner[concat_range(heads[mine], heads[mine + 1] - heads[mine])]
+            common = np.bincount(holders, minlength=len(sets))[near]
+            near = near[100 * common >= LEAST_PERCENT * (sizes[i] + sizes[near] - common)]
+            checked = True
+        else:
+            checked = False
+        for j in near.tolist():
+            if parent[root[j]] != parent[root[i]] and (checked or _alike(sets[i], sets[j])):
+                yield i, j
+                parent[parent == parent[root[j]]] = parent[root[i]]
+
+
+def across(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links ``a, b`` between components that meet in a bucket.
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node", ignore_index=True)
-        sketch = np.array(frame["sketch"].tolist(), np.int64).view(np.uint64)
-        root = pd.factorize(frame["root"])[0]
-        same_block = (frame["one"] == frame["two"]).to_numpy()
-        own = frame["own"].to_numpy()
-        out_a, out_b, out_more = [], [], []
-        nodes = frame["node"].tolist()
-        for i in range(len(frame) - 1):
-            far = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            fit = (far <= MOST_BITS) & (root[i + 1 :] != root[i])
-            if not same_block[i]:
-                fit &= own[i + 1 :] != own[i]
-            near = np.flatnonzero(fit)
-            near = near[np.argsort(far[near], kind="stable")]
-            taken = near[PER_ROUND * round_ : PER_ROUND * (round_ + 1)]
-            more = len(near) > PER_ROUND * (round_ + 1)
-            out_a += [nodes[i]] * len(taken)
-            out_b += [nodes[i + 1 + j] for j in taken.tolist()]
-            out_more += [more] * len(taken)
-        return pd.DataFrame({"a": out_a, "b": out_b, "more": out_more})
-
-    schema = T.StructType(
-        [
-            T.StructField("a", T.BinaryType()),
-            T.StructField("b", T.BinaryType()),
-            T.StructField("more", T.BooleanType()),
-        ]
+    ``members``: ``key, node, root, sketch, n_shingles, doc_id``. Buckets with the same
+    members are looked at once. A bucket is split to blocks of bounded size, and every
+    two blocks meet in a task.
+    """
+    name = F.xxhash64("node")
+    buckets = (
+        members.groupBy("key")
+        .agg(
+            F.count("*").alias("size"),
+            F.sum(F.col("n_shingles") + 1).alias("shingles"),
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+            F.struct(F.sum(name.cast("decimal(38,0)")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("who"),
+        )
+        .where("size > 2 AND low != high")
+        .groupBy("size", "who")
+        .agg(F.min(F.struct("key", "shingles")).alias("one"))
+        .select("one.key", "size", "one.shingles")
     )
-    return spread.groupBy("key", "one", "two").applyInPandas(pick, schema)
+    mixed = members.join(buckets, "key")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(name, blocks).cast("int")
+    spread = stored(
+        mixed.select(
+            "key", "node", "root", "sketch", "doc_id", own.alias("own"),
+            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+        ).select(
+            "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
+            "own", "node", "root", "sketch", "doc_id",
+        ),
+        "blocks",
+    )
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = list(shingle_sets(pa.array(frame["text"], pa.string())))
+        same = [node_of(one) == node for one, node in zip(sets, frame["node"])]
+        rows = np.flatnonzero(same)  # not another row of that id
+        rows = rows[np.unique(frame["node"].to_numpy()[rows], return_index=True)[1]] if len(rows) else rows
+        frame, sets = frame.iloc[rows], [sets[i] for i in rows]
+        nodes, out = frame["node"].tolist(), []
+        if len(nodes) > 1:
+            sketch = np.array(frame["sketch"].tolist(), np.int64).view(np.uint64)
+            side = frame["own"].to_numpy() if frame["one"].iloc[0] != frame["two"].iloc[0] else None
+            found = forest(sets, sketch, pd.factorize(frame["root"])[0], side)
+            out = [(nodes[i], nodes[j]) for i, j in found]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return spread.join(texts, "doc_id").groupBy("key", "one", "two").applyInPandas(link, schema)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -258,7 +291,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     signed = stored(signatures(documents), "signatures")
     named = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(
-        named.groupBy("node").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("one")).select(
+        named.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("one")).select(
             "node", "one.*"
         ),
         "classes",
@@ -284,26 +317,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     apart = (
         members.join(roots, "node", "left")
         .select("key", "node", F.coalesce("root", "node").alias("root"))
-        .join(sketches, "node")
+        .join(classes.select("node", "sketch", "n_shingles", "doc_id"), "node")
     )
-    apart, round_ = stored(apart, "apart"), 0
-    while True:
-        found = stored(_across(apart, round_), "across")
-        if found.isEmpty():
-            break
-        now = roots.select(F.col("node"), F.col("root"))
-        fresh = (
-            found.select("a", "b").distinct()
-            .join(now.toDF("a", "root_a"), "a", "left")
-            .join(now.toDF("b", "root_b"), "b", "left")
-            .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-            .select("a", "b")
-        )
-        links = stored(links.union(linked(fresh, documents, first)), "links")
-        roots = components(links)
-        if found.where("more").isEmpty():
-            break
-        round_ += 1
+    more = stored(across(apart, documents), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     smallest = (
         first.join(roots, "node")

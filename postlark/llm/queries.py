@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlark.llm import archives, attribution, chat, decontaminate, mixing, near_dup, quality, token_files
+from postlark.llm import archives, attribution, chat, decontaminate, lm, mixing, near_dup, quality, token_files
 from postlark.llm.common import stored, table
 from postlark.streaming.runs import new_run
 
@@ -36,6 +36,10 @@ def op4_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op6_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def queries() -> dict:
         "op1_arc_to_warc": op1_arc_to_warc,
         "op3_section_tokens": op3_section_tokens,
         "op4_hash_mix": op4_hash_mix,
+        "op5_attention_lm": op5_attention_lm,
         "op6_odd_sketches": op6_odd_sketches,
         "op7_fm_index": op7_fm_index,
         "op8_prefix_targets": op8_prefix_targets,

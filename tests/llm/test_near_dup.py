@@ -61,9 +61,8 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_all_pairs(spark, seed, monkeypatch):
-    if seed == 2:  # small blocks and rounds, so that every way is taken
+    if seed == 2:  # small blocks, so that every way is taken
         monkeypatch.setattr(N, "BLOCK", 3)
-        monkeypatch.setattr(N, "PER_ROUND", 1)
     rows = corpus(seed)
     frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, kept string")
     got = sorted((tuple(row) for row in N.near_duplicates(frame).collect()), key=str)
@@ -74,5 +73,23 @@ def test_equals_all_pairs(spark, seed, monkeypatch):
         assert {r.doc_id for r in kept.collect()} == {d for d, _, _, keep in got if keep}
 
 
+def test_forest_joins_what_is_similar():
+    rng = random.Random(3)
+    base = [rng.randrange(10**9) for _ in range(100)]
+    sets = []
+    for _ in range(60):
+        one = list(base)
+        for i in rng.sample(range(100), rng.choice([2, 8, 14, 20])):
+            one[i] = rng.randrange(10**9)
+        sets.append(N.np.unique(N.np.array(one, N.np.uint64)))
+    sketch = N.np.array([N.odd_sketch(N.min_hashes(one)) for one in sets]).view(N.np.uint64)
+    root = N.np.arange(len(sets))
+    for i, j in N.forest(sets, sketch, root.copy(), None):
+        assert N._alike(sets[i], sets[j])
+        root[root == root[j]] = root[i]
+    apart = [(i, j) for i in range(60) for j in range(i) if N._alike(sets[i], sets[j]) and root[i] != root[j]]
+    assert not apart and len(set(root.tolist())) > 1
+
+
 def test_no_rows(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
