@@ -21,6 +21,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM hashed
 """
 
+TOP = """
+WITH vectors AS (
+    SELECT vec_id, row_number() OVER () AS r,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x:
+        x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ranked AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score,
+           q.r
+    FROM vectors q JOIN vectors c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM ranked WINDOW best AS (PARTITION BY r ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
 NEAR = r"""
 WITH RECURSIVE texts AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -152,6 +169,7 @@ FROM joined
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": WARC,
+        "op2_cover_trees": TOP,
         "op4_hash_mix": MIX,
         "op6_odd_sketches": NEAR,
         "op7_fm_index": LEAKS,

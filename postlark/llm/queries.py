@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlark.llm import archives, attribution, chat, decontaminate, lm, mixing, near_dup, quality, token_files
+from postlark.llm import archives, attribution, chat, decontaminate, lm, mixing, near_dup, quality, token_files, top_k
 from postlark.llm.common import stored, table
 from postlark.streaming.runs import new_run
 
@@ -27,6 +27,11 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_cover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = attribution.section_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
     return counted.withColumn("n_tokens", F.col("n_tokens").cast("long"))
@@ -75,6 +80,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
+        "op2_cover_trees": op2_cover_trees,
         "op3_section_tokens": op3_section_tokens,
         "op4_hash_mix": op4_hash_mix,
         "op5_attention_lm": op5_attention_lm,
