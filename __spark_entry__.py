@@ -7,6 +7,7 @@ JSON payload of ``events`` for nested posts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ ONCE = {"availableNow": True}
 # costs one step and not the whole run.
 FILES_PER_TRIGGER = 10_000
 
+# How many parts the state of a running report gets here.
+STATE_PARTITIONS = 8
+
 
 # --- inputs -------------------------------------------------------------------
 
@@ -48,8 +52,17 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+def split_stream(spark: SparkSession, sf_dir: str, name: str, run: str) -> DataFrame:
+    """A table as a stream of several batches, as the tables here are one file each."""
+    source = table(spark, sf_dir, name)
+    source.repartition(5).write.parquet(f"{run}/source")
+    return pl.read_posts(
+        spark, f"{run}/source", "parquet", source.schema, stream=True, maxFilesPerTrigger=1
+    )
+
+
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.spread_rows(table(spark, sf_dir, "documents").select("text"))
+    return table(spark, sf_dir, "documents").select("text")
 
 
 def language_names(spark: SparkSession) -> DataFrame:
@@ -66,17 +79,15 @@ def partly_unknown_languages(documents: DataFrame) -> DataFrame:
     )
 
 
-def sql_language_counts(spark: SparkSession, posts: DataFrame, view: str) -> DataFrame:
+def sql_language_counts(spark: SparkSession, posts: DataFrame) -> DataFrame:
     """The language counts as a user writes them in SQL, on a table or a stream."""
-    pl.register_posts(posts.withColumnRenamed("lang", "Language"), view)
+    view = f"posts_{uuid.uuid4().hex}"
+    pl.register_posts(posts, view)
     return spark.sql(
         f"""
-        SELECT CASE WHEN language IS NULL OR language = 'und' THEN 'Undetermined'
-                    ELSE language END AS language,
-               count(language) AS tweet_count
-        FROM {view}
-        GROUP BY language
-        HAVING tweet_count > 0
+        WITH known AS (SELECT lang FROM {view} WHERE lang IS NOT NULL),
+             counted AS (SELECT lang, count(*) AS tweet_count FROM known GROUP BY lang)
+        SELECT if(lang = 'und', 'Undetermined', lang) AS language, tweet_count FROM counted
         """
     )
 
@@ -107,7 +118,7 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_as_posts(documents: DataFrame) -> DataFrame:
     """Documents in the flat record's columns."""
-    given = {"UserID": "doc_id", "Language": "lang", "Text": "text"}
+    given = {"UserName": "source", "UserID": "doc_id", "Language": "lang", "Text": "text"}
     return documents.select(
         *[
             (F.col(given[c.name]) if c.name in given else F.lit(None).cast(c.dataType)).alias(
@@ -140,7 +151,7 @@ def language_counts_undetermined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_counts_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = partly_unknown_languages(table(spark, sf_dir, "documents"))
-    return sql_language_counts(spark, posts, "posts")
+    return sql_language_counts(spark, posts)
 
 
 def language_names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +208,15 @@ def project_text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The zone's name depends on the session, so it is left out of the comparison.
+def without_zone(posts: DataFrame) -> DataFrame:
+    """The zone's name depends on the session, so it is left out of the comparison."""
     printed = F.col("created_at")
-    return pl.flatten_posts(nested_events(spark, sf_dir)).withColumn(
-        "created_at", F.concat(F.substring(printed, 1, 20), F.substring(printed, -4, 4))
-    )
+    short = F.concat(F.substring(printed, 1, 20), F.substring(printed, -4, 4))
+    return posts.withColumn("created_at", short)
+
+
+def flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_zone(pl.flatten_posts(nested_events(spark, sf_dir)))
 
 
 def created_at_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +228,7 @@ def created_at_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = pl.intake(nested_events(spark, sf_dir), "signup, k error")
-    return posts.select("UserID", "Text", "Place", "isRetweet")
+    return without_zone(pl.intake(nested_events(spark, sf_dir), "signup, k error"))
 
 
 def decode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,10 +236,24 @@ def decode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = nested.select(
         F.to_json(F.struct(*nested.columns)).cast("binary").alias("value")
     )
-    posts = pl.flatten_posts(pl.decode_posts(messages))
-    return posts.select(
-        "UserName", "UserID", "FavoriteCount", "Place", "Coordinates", "Text", "isRetweet"
+    return without_zone(pl.flatten_posts(pl.decode_posts(messages)))
+
+
+def rejected_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of which those of one event type have lost their last character."""
+    cut = F.expr("CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END")
+    return pl.rejected_payloads(table(spark, sf_dir, "events").select(cut.alias("value")))
+
+
+def language_names_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with names from a lookup file, whose names hold quotes and commas."""
+    path = f"{new_run(spark, 'lookup')}/names"
+    codes = table(spark, sf_dir, "documents").select(F.col("lang").alias("code")).distinct()
+    named = codes.where(F.col("code") != "es").withColumn(
+        "name", F.concat(F.lit('the "'), F.upper("code"), F.lit('", so called'))
     )
+    named.write.options(header=True, quoteAll=True, escape='"').csv(path)
+    return pl.name_languages(language_counts(spark, sf_dir), pl.read_language_names(spark, path))
 
 
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,26 +271,29 @@ def csv_landing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming queries: run over the whole table, then read the result ------------
 
 
-def _run(spark, sf_dir, name, schema, start, source="documents") -> DataFrame:
+def _run(spark, sf_dir, name, schema, start, split=False, kind=pl.SnapshotTable, **options):
     run = new_run(spark, name)
-    result = pl.SnapshotTable(spark, f"{run}/result", schema)
-    start(table_stream(spark, sf_dir, source), result, f"{run}/checkpoint").awaitTermination()
+    result = kind(spark, f"{run}/result", schema, **options)
+    posts = split_stream(spark, sf_dir, "documents", run) if split else table_stream(spark, sf_dir, "documents")
+    start(posts, result, f"{run}/checkpoint").awaitTermination()
     return result.read()
 
 
+# What every report with state is started with.
+START = {"trigger": ONCE, "partitions": STATE_PARTITIONS}
+
+
 def stream_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
-        return reports.run_language_counts(posts, result, checkpoint, "lang", ONCE)
+        return reports.run_language_counts(posts, result, checkpoint, "lang", **START)
 
-    return _run(spark, sf_dir, "language-counts", LANGUAGE_COUNTS, start)
+    return _run(spark, sf_dir, "language-counts", LANGUAGE_COUNTS, start, split=True)
 
 
 def stream_language_counts_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(documents, result, checkpoint):
-        counts = sql_language_counts(
-            spark, partly_unknown_languages(documents), "streamed_posts"
-        )
-        return reports.run_complete(counts, result, checkpoint, ONCE)
+        counts = sql_language_counts(spark, partly_unknown_languages(documents))
+        return reports.run_complete(counts, result, checkpoint, **START)
 
     return _run(spark, sf_dir, "language-counts-sql", LANGUAGE_COUNTS, start)
 
@@ -271,7 +301,7 @@ def stream_language_counts_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
         names = language_names(spark)
-        return reports.run_language_names(posts, names, result, checkpoint, "lang", ONCE)
+        return reports.run_language_names(posts, names, result, checkpoint, "lang", **START)
 
     return _run(spark, sf_dir, "language-names", LANGUAGE_COUNTS, start)
 
@@ -280,7 +310,7 @@ def stream_language_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
         names = language_names(spark)
         return reports.run_language_distribution(
-            posts, names, result, checkpoint, "lang", ONCE
+            posts, names, result, checkpoint, "lang", **START
         )
 
     return _run(spark, sf_dir, "language-distribution", LANGUAGE_DISTRIBUTION, start)
@@ -288,30 +318,33 @@ def stream_language_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
-        return reports.run_language_upserts(posts, result, checkpoint, "lang", ONCE)
+        return reports.run_language_upserts(posts, result, checkpoint, "lang", **START)
 
-    return _run(spark, sf_dir, "language-upserts", LANGUAGE_COUNTS, start)
+    return _run(spark, sf_dir, "language-upserts", LANGUAGE_COUNTS, start, split=True, files=1)
 
 
 def stream_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
-        return reports.run_word_counts(posts, result, checkpoint, "text", ONCE)
+        return reports.run_word_counts(posts, result, checkpoint, "text", **START)
 
-    return _run(spark, sf_dir, "word-counts", WORD_COUNTS, start)
+    return _run(
+        spark, sf_dir, "word-counts", WORD_COUNTS, start, split=True, kind=pl.ChangeTable,
+        key="word", total="word_count", compact_every=2,
+    )
 
 
 def stream_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
-        return reports.run_top_words_complete(posts, result, checkpoint, 5, "text", ONCE)
+        return reports.run_top_words_complete(posts, result, checkpoint, 5, "text", **START)
 
     return _run(spark, sf_dir, "top-words-complete", WORD_COUNTS, start)
 
 
 def stream_top_words_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     def start(posts, result, checkpoint):
-        return reports.run_top_words(posts, result, checkpoint, 5, "text", ONCE)
+        return reports.run_top_words(posts, result, checkpoint, 5, "text", **START)
 
-    return _run(spark, sf_dir, "top-words", WORD_COUNTS, start)
+    return _run(spark, sf_dir, "top-words", WORD_COUNTS, start, split=True, files=1)
 
 
 def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,9 +380,29 @@ def stream_landing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, lang string, text string").parquet(f"{run}/result")
 
 
-def _session(spark: SparkSession, sf_dir: str) -> pl.PostSession:
-    posts = documents_as_posts(table_stream(spark, sf_dir, "documents"))
-    session = pl.PostSession(spark, posts, KEYWORDS, language_names(spark))
+def stream_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested posts as a stream of JSON files, flattened."""
+    run = new_run(spark, "json")
+    nested_events(spark, sf_dir).repartition(3).write.json(f"{run}/source")
+    posts = pl.read_posts(spark, f"{run}/source", stream=True, maxFilesPerTrigger=1)
+    flat = without_zone(pl.flatten_posts(posts))
+    (
+        flat.writeStream.format("parquet")
+        .option("checkpointLocation", f"{run}/checkpoint")
+        .trigger(**ONCE)
+        .start(f"{run}/result")
+        .awaitTermination()
+    )
+    return spark.read.schema(flat.schema).parquet(f"{run}/result")
+
+
+def _session(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, **options):
+    if posts is None:
+        posts = table_stream(spark, sf_dir, "documents")
+    names = language_names(spark)
+    session = pl.PostSession(
+        spark, documents_as_posts(posts), KEYWORDS, names, state_partitions=STATE_PARTITIONS, **options
+    )
     session.start(once=True)
     session.await_termination()
     session.stop()
@@ -365,7 +418,34 @@ def post_session_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post_session_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _session(spark, sf_dir).feed()
+    return _session(spark, sf_dir).feed().select(F.col("UserID").alias("doc_id"), "line")
+
+
+def partly_empty_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table_stream(spark, sf_dir, "documents")
+    empty = F.when(F.col("source") == "src0", "").when(F.col("source") == "src1", "und")
+    return documents.withColumn("lang", empty.otherwise(F.col("lang")))
+
+
+def post_session_languages_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir, partly_empty_languages(spark, sf_dir)).languages()
+
+
+def post_session_languages_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = partly_empty_languages(spark, sf_dir)
+    return _session(spark, sf_dir, posts, landing_format="csv").languages()
+
+
+def post_session_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session with its usual triggers, stopped when it has seen the table."""
+    posts = documents_as_posts(table_stream(spark, sf_dir, "documents"))
+    session = pl.PostSession(
+        spark, posts, KEYWORDS, language_names(spark), state_partitions=STATE_PARTITIONS
+    )
+    session.start()
+    session.queries["intake"].processAllAvailable()
+    session.stop(drain=True)
+    return session.top_words()
 
 
 # --- SQL equivalents ------------------------------------------------------------------
@@ -377,6 +457,12 @@ UNKNOWN_LANGUAGES = """(
 TOKENS = r"""list_transform(regexp_split_to_array(text, '\s+'),
     lambda x: lower(regexp_replace(x, '[^\p{L}\p{M}\p{N}_]', '', 'g')))"""
 
+UNKNOWN_MATCHING = f"""(
+    SELECT * FROM (
+        SELECT CASE WHEN source = 'src0' THEN NULL WHEN source = 'src1' THEN 'und'
+                    ELSE lang END AS lang, {TOKENS} AS tokens FROM documents)
+    WHERE list_has_all(tokens, ['that', 'with']) OR list_has_all(tokens, ['dans']))"""
+
 MATCHING = f"""(
     SELECT * FROM (SELECT *, {TOKENS} AS tokens FROM documents)
     WHERE list_has_all(tokens, ['that', 'with']) OR list_has_all(tokens, ['dans']))"""
@@ -392,10 +478,10 @@ COORDINATES = """CASE WHEN located THEN '[[{"lat":' || CAST(value AS VARCHAR) ||
 
 def counts_sql(source: str) -> str:
     return f"""
-        SELECT CASE WHEN lang IS NULL OR lang = 'und' THEN 'Undetermined' ELSE lang END
-                   AS language,
-               count(lang) AS tweet_count
-        FROM {source} GROUP BY lang HAVING count(lang) > 0"""
+        SELECT replace(code, 'und', 'Undetermined') AS language,
+               (SELECT count(*) FROM {source} AS posts WHERE posts.lang = codes.code) AS tweet_count
+        FROM (SELECT DISTINCT lang AS code FROM {source} AS every) AS codes
+        WHERE code IS NOT NULL"""
 
 
 def names_sql(source: str) -> str:
@@ -494,6 +580,12 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "post_session_words": post_session_words,
         "post_session_languages": post_session_languages,
         "post_session_feed": post_session_feed,
+        "post_session_languages_empty": post_session_languages_empty,
+        "post_session_languages_csv": post_session_languages_csv,
+        "post_session_live": post_session_live,
+        "stream_json_files": stream_json_files,
+        "rejected_payloads": rejected_payloads,
+        "language_names_file": language_names_file,
     }
 
 
@@ -506,6 +598,18 @@ def core_oracle_sql() -> dict[str, str]:
     top = top_sql("documents", "text")
     top_events = guarded_sql("events", "event_type")
     session_top = guarded_sql(MATCHING, "text")
+    flat = f"""
+        SELECT event_type AS "UserName", user_id AS "UserID",
+               strftime(ts, '%a %b %d %H:%M:%S %Y') AS created_at,
+               CAST(0 AS INTEGER) AS "TextRangeStart", k AS "TextRangeEnd",
+               k AS "FavoriteCount", substr(event_type, 1, 2) AS "Language",
+               CASE WHEN located THEN upper(event_type) ELSE '' END AS "Place",
+               {COORDINATES} AS "Coordinates",
+               CAST(length(props) AS INTEGER) AS "RetweetCount",
+               event_type || ' ' || props AS "Text",
+               event_type = 'click' AS "isRetweet"
+        FROM {NESTED}"""
+    empty = names_sql(UNKNOWN_MATCHING)
     feed = "SELECT conv_id, turn, role || ':' || text AS line FROM conversations"
     documents = "SELECT doc_id, lang, text FROM documents"
     return {
@@ -527,31 +631,12 @@ def core_oracle_sql() -> dict[str, str]:
         "keyword_filter": f"SELECT doc_id FROM {MATCHING}",
         "session_top_words": session_top,
         "project_text_language": "SELECT doc_id, text, lang AS language FROM documents",
-        "flatten_record": f"""
-            SELECT event_type AS "UserName", user_id AS "UserID",
-                   strftime(ts, '%a %b %d %H:%M:%S %Y') AS created_at,
-                   CAST(0 AS INTEGER) AS "TextRangeStart", k AS "TextRangeEnd",
-                   k AS "FavoriteCount", substr(event_type, 1, 2) AS "Language",
-                   CASE WHEN located THEN upper(event_type) ELSE '' END AS "Place",
-                   {COORDINATES} AS "Coordinates",
-                   CAST(length(props) AS INTEGER) AS "RetweetCount",
-                   event_type || ' ' || props AS "Text",
-                   event_type = 'click' AS "isRetweet"
-            FROM {NESTED}""",
+        "flatten_record": flat,
         "created_at_parsed": """
             SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS created_at
             FROM events""",
-        "intake": f"""
-            SELECT user_id AS "UserID", event_type || ' ' || props AS "Text",
-                   CASE WHEN located THEN upper(event_type) ELSE '' END AS "Place",
-                   event_type = 'click' AS "isRetweet"
-            FROM {NESTED} WHERE event_type IN ('signup', 'error')""",
-        "decode_messages": f"""
-            SELECT event_type AS "UserName", user_id AS "UserID", k AS "FavoriteCount",
-                   CASE WHEN located THEN upper(event_type) ELSE '' END AS "Place",
-                   {COORDINATES} AS "Coordinates",
-                   event_type || ' ' || props AS "Text", event_type = 'click' AS "isRetweet"
-            FROM {NESTED}""",
+        "intake": f"{flat} WHERE event_type IN ('signup', 'error')",
+        "decode_messages": flat,
         "feed_lines": feed,
         "csv_landing_roundtrip": documents,
         "stream_language_counts": counts,
@@ -566,5 +651,16 @@ def core_oracle_sql() -> dict[str, str]:
         "stream_landing_roundtrip": documents,
         "post_session_words": session_top,
         "post_session_languages": names_sql(MATCHING),
-        "post_session_feed": f"SELECT 'null:' || text AS line FROM {MATCHING}",
+        "post_session_feed": f"SELECT doc_id, source || ':' || text AS line FROM {MATCHING}",
+        "post_session_languages_empty": empty,
+        "post_session_languages_csv": empty,
+        "post_session_live": session_top,
+        "stream_json_files": flat,
+        "rejected_payloads": """
+            SELECT left(props, length(props) - 1) AS payload FROM events
+            WHERE event_type = 'error'""",
+        "language_names_file": f"""
+            SELECT CASE WHEN language = 'es' THEN 'es'
+                        ELSE 'the "' || upper(language) || '", so called' END AS language,
+                   tweet_count FROM ({counts})""",
     }

@@ -21,11 +21,12 @@ from postlark.plans.pipelines import (
 from postlark.schemas import LANGUAGE_NAMES, NESTED_POST, POST
 from postlark.sources.landing import read_landing, stream_landing, write_landing
 from postlark.sources.lookup import read_language_names
-from postlark.sources.posts import decode_posts, read_posts, register_posts, spread_rows
+from postlark.sources.posts import decode_posts, read_posts, register_posts, rejected_payloads
 from postlark.streaming.session import PostSession
-from postlark.streaming.snapshots import SnapshotTable
+from postlark.streaming.snapshots import ChangeTable, SnapshotTable
 
 __all__ = [
+    "ChangeTable",
     "LANGUAGE_NAMES",
     "NESTED_POST",
     "POST",
@@ -50,9 +51,9 @@ __all__ = [
     "read_language_names",
     "read_posts",
     "register_posts",
+    "rejected_payloads",
     "require_full",
     "session_top_words",
-    "spread_rows",
     "stream_landing",
     "top_words",
     "with_share",

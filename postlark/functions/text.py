@@ -19,6 +19,7 @@ WHITE_SPACE = "\t\n\x0b\f\r "
 # How a record prints its creation time.
 CREATED_AT = "EEE MMM dd HH:mm:ss zzz yyyy"
 CREATED_AT_WITHOUT_WEEKDAY = "MMM dd HH:mm:ss zzz yyyy"
+WEEKDAY = "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) "
 
 
 def word_array(text: Column) -> Column:
@@ -47,6 +48,7 @@ def created_at_text(timestamp: Column) -> Column:
 def parse_created_at(text: Column) -> Column:
     """Read ``created_at`` back as a timestamp; NULL where it is malformed.
 
-    Spark does not parse weekday names, so the leading ``EEE `` is cut off.
+    Spark does not parse weekday names, so the leading one is cut off.
     """
-    return F.try_to_timestamp(F.substring(text, 5, 64), F.lit(CREATED_AT_WITHOUT_WEEKDAY))
+    rest = F.when(text.rlike(WEEKDAY), F.regexp_replace(text, WEEKDAY, ""))
+    return F.try_to_timestamp(rest, F.lit(CREATED_AT_WITHOUT_WEEKDAY))

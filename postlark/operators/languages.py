@@ -9,22 +9,13 @@ UNDETERMINED = "Undetermined"
 def language_counts(posts: DataFrame, language: str = "Language") -> DataFrame:
     """Count posts per language.
 
-    Grouping is on the column as it came, and the label is put on afterwards.
-    ``count(language)`` is 0 for the NULL group, which the last filter removes:
-    posts without a language are not counted, posts marked ``und`` are.
+    Posts without a language are left out first, so the filter reaches the scan and a
+    stream keeps no state for them. Posts marked ``und`` count as undetermined.
     """
-    code = F.col(language)
-    return (
-        posts.groupBy(code.alias("code"))
-        .agg(F.count(code).alias("tweet_count"))
-        .where(F.col("tweet_count") > 0)
-        .select(
-            F.when(F.col("code").isNull() | (F.col("code") == "und"), UNDETERMINED)
-            .otherwise(F.col("code"))
-            .alias("language"),
-            "tweet_count",
-        )
-    )
+    known = posts.select(F.col(language).alias("code")).where(F.col("code").isNotNull())
+    name = F.when(F.col("code") == "und", UNDETERMINED).otherwise(F.col("code"))
+    counts = known.groupBy("code").agg(F.count("*").alias("tweet_count"))
+    return counts.select(name.alias("language"), "tweet_count")
 
 
 def name_languages(counts: DataFrame, names: DataFrame) -> DataFrame:

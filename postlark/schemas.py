@@ -60,4 +60,9 @@ LANGUAGE_DISTRIBUTION = _table(
 
 WORD_COUNTS = _table(("word", T.StringType()), ("word_count", T.LongType()))
 
-FEED = _table(("line", T.StringType()))
+FEED = _table(
+    ("UserID", T.LongType()),
+    ("created_at", T.StringType()),
+    ("line", T.StringType()),
+    ("arrived", T.TimestampType()),
+)

@@ -7,8 +7,9 @@ better.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from postlark.schemas import POST
 
@@ -22,12 +23,25 @@ _WRITE = {**_FORMAT, "quoteAll": "true", "ignoreTrailingWhiteSpace": "false"}
 _READ = {**_FORMAT, "multiLine": "true", "ignoreTrailingWhiteSpace": "true"}
 
 
+def empty_as_null(posts: DataFrame) -> DataFrame:
+    """An empty text is no value, whatever format posts are landed in."""
+    return posts.select(
+        [
+            F.nullif(field.name, F.lit("")).alias(field.name)
+            if isinstance(field.dataType, StringType)
+            else F.col(field.name)
+            for field in posts.schema
+        ]
+    )
+
+
 def write_landing(
     posts: DataFrame, path: str, mode: str = "append", records_per_file: int = RECORDS_PER_FILE
 ) -> None:
     """Add a batch of posts to a landing directory."""
     (
-        posts.write.mode(mode)
+        empty_as_null(posts)
+        .write.mode(mode)
         .options(**_WRITE)
         .option("maxRecordsPerFile", records_per_file)
         .csv(path)
@@ -42,13 +56,19 @@ def stream_landing(
     name: str | None = None,
     format: str = "csv",
     records_per_file: int = RECORDS_PER_FILE,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Keep writing a stream of posts to a landing directory, exactly once.
 
     Files appear complete or not at all, and the directory's commit log keeps a
     reader of the directory from seeing the files of a failed attempt. ``format``
-    may also be ``parquet``, to be read with its own reader.
+    may also be ``parquet``, to be read with its own reader. ``files_per_batch`` limits
+    the files of a batch, for sources that deliver few posts at a time; the directory's
+    log grows with the number of files.
     """
+    posts = empty_as_null(posts)
+    if files_per_batch is not None:
+        posts = posts.coalesce(files_per_batch)
     writer = (
         posts.writeStream.format(format)
         .options(**(_WRITE if format == "csv" else {}))

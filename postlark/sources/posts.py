@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postlark.schemas import NESTED_POST
 
@@ -24,34 +24,38 @@ def read_posts(
     return reader.format(format).schema(schema).options(**options).load(path)
 
 
+_REJECTED = "_rejected"
+
+
+def _decoded(messages: DataFrame, payload: str, schema: StructType) -> DataFrame:
+    text = F.col(payload).cast("string")
+    wanted = StructType([*schema.fields, StructField(_REJECTED, StringType())])
+    post = F.from_json(text, wanted, {"columnNameOfCorruptRecord": _REJECTED})
+    return messages.select(text.alias("payload"), post.alias("post"))
+
+
 def decode_posts(
     messages: DataFrame, payload: str = "value", schema: StructType = NESTED_POST
 ) -> DataFrame:
     """Posts from a column of JSON text or bytes, as a message queue delivers them.
 
-    A payload that is not JSON gives a row of NULLs, as the JSON file reader does.
+    Payloads that cannot be read make no post; ``rejected_payloads`` has them.
     """
-    return messages.select(
-        F.from_json(F.col(payload).cast("string"), schema).alias("post")
-    ).select("post.*")
+    decoded = _decoded(messages, payload, schema)
+    readable = decoded.where(F.col("post").isNotNull() & F.col(f"post.{_REJECTED}").isNull())
+    return readable.select([F.col(f"post.{field.name}") for field in schema.fields])
+
+
+def rejected_payloads(
+    messages: DataFrame, payload: str = "value", schema: StructType = NESTED_POST
+) -> DataFrame:
+    """The payloads, as text, that ``decode_posts`` leaves out."""
+    decoded = _decoded(messages, payload, schema)
+    unread = F.col("post").isNull() | F.col(f"post.{_REJECTED}").isNotNull()
+    return decoded.where(unread).select("payload")
 
 
 def register_posts(posts: DataFrame, view: str = "posts") -> DataFrame:
     """Make posts queryable with ``spark.sql``; registering again replaces the view."""
     posts.createOrReplaceTempView(view)
     return posts
-
-
-def spread_rows(table: DataFrame) -> DataFrame:
-    """Deal rows out evenly when the scan alone would leave most cores idle.
-
-    A Parquet row group is read by one task, so a small table in one file keeps
-    one core busy however costly the text work is. Only then are the rows
-    shuffled; a table with at least half as many scan tasks as cores, thus any
-    large one, is returned as it is. Meant for a table just read, with the
-    columns still needed already selected.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.isStreaming or table.rdd.getNumPartitions() * 2 > cores:
-        return table
-    return table.repartition(cores)

@@ -1,4 +1,7 @@
-"""Directory calls on whatever file system a path belongs to, through Hadoop's API."""
+"""Directory calls on whatever file system a path belongs to, through Hadoop's API.
+
+They need a classic session: Spark Connect has no access to the JVM.
+"""
 
 from pyspark.sql import SparkSession
 
@@ -19,13 +22,21 @@ class Directory:
     def exists(self, name: str = "") -> bool:
         return self._files.exists(self._at(name))
 
-    def names(self) -> list[str]:
-        if not self.exists():
+    def names(self, name: str = "") -> list[str]:
+        if not self.exists(name):
             return []
-        return [entry.getPath().getName() for entry in self._files.listStatus(self._at(""))]
+        return [entry.getPath().getName() for entry in self._files.listStatus(self._at(name))]
+
+    def create(self, name: str = "") -> None:
+        self._files.mkdirs(self._at(name))
+
+    def touch(self, name: str) -> None:
+        """Make an empty file, replacing one of that name."""
+        self._files.create(self._at(name), True).close()
 
-    def create(self) -> None:
-        self._files.mkdirs(self._at(""))
+    def modified(self, name: str) -> float:
+        """When an entry was last changed, in seconds by the file system's clock."""
+        return self._files.getFileStatus(self._at(name)).getModificationTime() / 1000
 
-    def remove(self, name: str) -> None:
+    def remove(self, name: str = "") -> None:
         self._files.delete(self._at(name), True)

@@ -6,15 +6,22 @@ the progress: the same one continues the totals, a new one starts from zero.
 """
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from postlark.operators.feed import feed_lines
 from postlark.operators.languages import language_counts, name_languages, with_share
 from postlark.operators.words import top_words, word_counts
-from postlark.streaming.runs import ROCKSDB_STATE, settings, state_partitions
-from postlark.streaming.sinks import BatchFunction, replace_all, upsert, upsert_top_words
-from postlark.streaming.snapshots import SnapshotTable
+from postlark.streaming.runs import ROCKSDB_STATE, settings
+from postlark.streaming.sinks import (
+    BatchFunction,
+    add_changes,
+    replace_all,
+    upsert,
+    upsert_top_words,
+)
+from postlark.streaming.snapshots import ChangeTable, SnapshotTable
 
 # How often the running reports are refreshed.
 LANGUAGE_TRIGGER = {"processingTime": "200 milliseconds"}
@@ -29,6 +36,7 @@ def _writer(result: DataFrame, checkpoint: str, trigger: dict, name: str | None)
 def _start(
     result: DataFrame,
     mode: str,
+    table: SnapshotTable,
     store: BatchFunction,
     checkpoint: str,
     trigger: dict,
@@ -39,10 +47,12 @@ def _start(
 
     ``trigger`` is such as ``{"processingTime": "1 second"}`` or
     ``{"availableNow": True}``; ``name`` is shown in Spark's UI and progress
-    events. ``partitions`` splits the state; the first start of a checkpoint fixes it.
+    events. ``partitions`` splits the state, by default as the session's shuffle
+    partitions say; the first start of a checkpoint fixes it.
     """
     spark = result.sparkSession
-    split = {"spark.sql.shuffle.partitions": str(partitions or state_partitions(spark))}
+    split = {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}
+    table.bind(checkpoint)
     with settings(spark, ROCKSDB_STATE | split):
         return (
             _writer(result, checkpoint, trigger, name)
@@ -56,7 +66,7 @@ def run_complete(
     result: DataFrame, table: SnapshotTable, checkpoint: str, trigger: dict, **start
 ) -> StreamingQuery:
     """Keep the whole result of any aggregation over a stream, such as one in SQL."""
-    return _start(result, "complete", replace_all(table), checkpoint, trigger, **start)
+    return _start(result, "complete", table, replace_all(table), checkpoint, trigger, **start)
 
 
 def run_language_counts(
@@ -102,7 +112,7 @@ def run_language_distribution(
 
     counts = language_counts(posts, language)
     store = replace_all(table, report)
-    return _start(counts, "complete", store, checkpoint, trigger, **start)
+    return _start(counts, "complete", table, store, checkpoint, trigger, **start)
 
 
 def run_language_upserts(
@@ -115,19 +125,20 @@ def run_language_upserts(
 ) -> StreamingQuery:
     """The same counts, merging only the languages a batch changed."""
     counts = language_counts(posts, language)
-    return _start(counts, "update", upsert(table, "language"), checkpoint, trigger, **start)
+    return _start(counts, "update", table, upsert(table, "language"), checkpoint, trigger, **start)
 
 
 def run_word_counts(
     posts: DataFrame,
-    table: SnapshotTable,
+    table: ChangeTable,
     checkpoint: str,
     text: str = "Text",
     trigger: dict = WORD_TRIGGER,
     **start,
 ) -> StreamingQuery:
-    """Replace the snapshot by the totals of all words, at the cost of a full copy per batch."""
-    return run_complete(word_counts(posts, text), table, checkpoint, trigger, **start)
+    """Totals of all words: every batch writes the words it changed."""
+    counts = word_counts(posts, text)
+    return _start(counts, "update", table, add_changes(table), checkpoint, trigger, **start)
 
 
 def run_top_words_complete(
@@ -155,7 +166,7 @@ def run_top_words(
 ) -> StreamingQuery:
     """The same list from the words a batch changed; work grows with the batch."""
     counts = word_counts(posts, text)
-    return _start(counts, "update", upsert_top_words(table, k), checkpoint, trigger, **start)
+    return _start(counts, "update", table, upsert_top_words(table, k), checkpoint, trigger, **start)
 
 
 def run_feed(
@@ -167,9 +178,15 @@ def run_feed(
     keys: tuple[str, ...] = (),
     trigger: dict = WORD_TRIGGER,
     name: str | None = None,
+    arrival: str | None = None,
 ) -> StreamingQuery:
-    """Append a line per post to a Parquet directory, exactly once."""
+    """Append a line per post to a Parquet directory, exactly once.
+
+    ``arrival`` names a column for the time of the batch that brought the line.
+    """
     lines = feed_lines(posts, user, text, keys)
+    if arrival:
+        lines = lines.withColumn(arrival, F.current_timestamp())
     return (
         _writer(lines, checkpoint, trigger, name)
         .outputMode("append")

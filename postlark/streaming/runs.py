@@ -1,6 +1,7 @@
 """Where a run keeps its files, and the settings its queries start with."""
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
@@ -37,34 +38,25 @@ def new_run(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SETTINGS = threading.RLock()
+
+
 @contextmanager
 def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
     """Set session options for the block and put the old ones back.
 
     A streaming query copies the options when it starts, so starting it inside
-    the block is enough.
+    the block is enough. One block runs at a time, as the options are shared.
     """
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
-def state_partitions(spark: SparkSession) -> int:
-    """How many parts the state of a new query gets.
-
-    The session's shuffle partitions decide, as usual. A local session takes no
-    more than it has cores: the default of 200 would open 200 state stores on one
-    machine.
-    """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        return min(partitions, spark.sparkContext.defaultParallelism)
-    return partitions
+    with _SETTINGS:
+        before = {key: spark.conf.get(key, None) for key in values}
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, value)

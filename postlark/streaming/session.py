@@ -17,6 +17,8 @@ from postlark.streaming.snapshots import SnapshotTable
 
 OnChange = Callable[[str], None]
 
+POLL_SECONDS = 0.5  # how soon a failed query is noticed while waiting for others
+
 
 class _ChangeSignal(StreamingQueryListener):
     """Calls back once per batch with new rows of a session's queries."""
@@ -50,7 +52,10 @@ class PostSession:
 
     ``max_files_per_trigger`` limits how many landed files a report takes at once.
     ``on_change(report)`` is called after each batch that brought a report new
-    rows. Blank keywords raise ``ValueError``.
+    rows. ``language_trigger`` and ``word_trigger`` pace the queries, and
+    ``files_per_batch`` limits the files a batch lands. Blank keywords raise
+    ``ValueError``. When a query fails, the session's other calls raise its error.
+    ``remove`` deletes the files of a stopped session.
     """
 
     def __init__(
@@ -64,6 +69,9 @@ class PostSession:
         state_partitions: int | None = None,
         max_files_per_trigger: int | None = None,
         on_change: OnChange | None = None,
+        language_trigger: dict = reports.LANGUAGE_TRIGGER,
+        word_trigger: dict = reports.WORD_TRIGGER,
+        files_per_batch: int | None = None,
     ):
         parse_keywords(keywords)
         if landing_format not in ("parquet", "csv"):
@@ -76,6 +84,9 @@ class PostSession:
         self.landing_format = landing_format
         self.state_partitions = state_partitions
         self.max_files_per_trigger = max_files_per_trigger
+        self.language_trigger = language_trigger
+        self.word_trigger = word_trigger
+        self.files_per_batch = files_per_batch
         self.queries: dict[str, StreamingQuery] = {}
         self.run_dir: str | None = None
         self._signal = _ChangeSignal(on_change) if on_change else None
@@ -101,12 +112,15 @@ class PostSession:
         return self.queries
 
     def _start_queries(self, once: dict | None) -> None:
-        language_trigger = once or reports.LANGUAGE_TRIGGER
-        word_trigger = once or reports.WORD_TRIGGER
+        language_trigger = once or self.language_trigger
+        word_trigger = once or self.word_trigger
+        # A row per language and k words: one file each.
         self._language_table = SnapshotTable(
-            self.spark, f"{self.run_dir}/languages", LANGUAGE_DISTRIBUTION
+            self.spark, f"{self.run_dir}/languages", LANGUAGE_DISTRIBUTION, files=1
+        )
+        self._word_table = SnapshotTable(
+            self.spark, f"{self.run_dir}/top_words", WORD_COUNTS, files=1
         )
-        self._word_table = SnapshotTable(self.spark, f"{self.run_dir}/top_words", WORD_COUNTS)
 
         # The reports cannot start on a directory that does not exist yet.
         landing = f"{self.run_dir}/landing"
@@ -116,6 +130,7 @@ class PostSession:
             landing,
             trigger=language_trigger,
             format=self.landing_format,
+            files_per_batch=self.files_per_batch,
             **self._run("intake"),
         )
         if once:
@@ -145,7 +160,12 @@ class PostSession:
             **self._run("words"),
         )
         self.queries["feed"] = reports.run_feed(
-            landed, f"{self.run_dir}/feed", trigger=word_trigger, **self._run("feed")
+            landed,
+            f"{self.run_dir}/feed",
+            keys=("UserID", "created_at"),
+            trigger=word_trigger,
+            arrival="arrived",
+            **self._run("feed"),
         )
 
     def _run(self, name: str) -> dict:
@@ -154,15 +174,35 @@ class PostSession:
             "name": f"{name} of {self.run_dir}",
         }
 
+    def _raise_failure(self) -> None:
+        """Raise the error of a query that has failed."""
+        for query in self.queries.values():
+            error = query.exception()
+            if error is not None:
+                raise error
+
     def await_termination(self) -> None:
-        """Wait until every query has ended; raises the error of one that failed."""
+        """Wait until every query has ended; when one fails, stop the rest and raise its error."""
+        waiting = list(self.queries.values())
+        while waiting:
+            try:
+                self._raise_failure()
+                waiting = [query for query in waiting if not query.awaitTermination(POLL_SECONDS)]
+            except BaseException:
+                self._stop_queries()
+                raise
+
+    def _stop_queries(self) -> None:
         for query in self.queries.values():
-            query.awaitTermination()
+            query.stop()
+        if self._signal:
+            self.spark.streams.removeListener(self._signal)
 
     def stop(self, drain: bool = False) -> None:
         """Stop all queries; with ``drain``, first report on everything landed.
 
-        Also to be called after a session started with ``once`` has ended.
+        Also to be called after a session started with ``once`` has ended. Raises the
+        error of a query that failed, after all have stopped.
         """
         intake = self.queries.get("intake")
         if intake is not None:
@@ -172,22 +212,34 @@ class PostSession:
                 if drain and name != "intake" and query.isActive:
                     query.processAllAvailable()
         finally:
-            for query in self.queries.values():
-                query.stop()
-            if self._signal:
-                self.spark.streams.removeListener(self._signal)
+            self._stop_queries()
+        self._raise_failure()
+
+    def remove(self) -> None:
+        """Delete everything a stopped session has written."""
+        if any(query.isActive for query in self.queries.values()):
+            raise RuntimeError("the session is running; stop it first")
+        if self.run_dir is not None:
+            Directory(self.spark, self.run_dir).remove()
+        self.run_dir, self.queries = None, {}
 
     def languages(self) -> DataFrame:
         """Posts per language so far: ``language, tweet_count, share``."""
+        self._raise_failure()
         return self._language_table.read()
 
     def top_words(self, full_only: bool = True) -> DataFrame:
         """The k most frequent words so far; empty while there are fewer than k."""
+        self._raise_failure()
         top = self._word_table.read()
         return require_full(top, self.k) if full_only else top
 
     def feed(self) -> DataFrame:
-        """All feed lines so far."""
+        """All feed lines so far: ``UserID, created_at, line, arrived``.
+
+        Order by ``arrived`` for the order of arrival; lines of one batch share it.
+        """
+        self._raise_failure()
         if not Directory(self.spark, f"{self.run_dir}/feed").exists():
             return self.spark.createDataFrame([], FEED)
         return self.spark.read.schema(FEED).parquet(f"{self.run_dir}/feed")

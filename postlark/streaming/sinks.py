@@ -1,4 +1,4 @@
-"""``foreachBatch`` functions that keep a SnapshotTable up to date."""
+"""``foreachBatch`` functions that keep a result table up to date."""
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,11 +14,11 @@ BatchFunction = Callable[[DataFrame, int], None]
 
 
 @contextmanager
-def _held(batch: DataFrame) -> Iterator[int]:
-    """Keep a batch that is read more than once, and tell its number of rows."""
+def _held(batch: DataFrame) -> Iterator[None]:
+    """Keep a batch that is read more than once."""
     batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield batch.count()
+        yield
     finally:
         batch.unpersist()
 
@@ -28,13 +28,24 @@ def replace_all(
 ) -> BatchFunction:
     """Each batch is the whole result (complete mode): it becomes the snapshot.
 
-    ``transform`` gets a static frame, so it may do what a streaming plan may
-    not. It must not add rows.
+    ``transform`` gets a static frame, so it may do what a streaming plan may not.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        with _held(batch) as rows:
-            table.write(transform(batch) if transform else batch, batch_id, rows)
+        if transform is None:
+            table.write(batch, batch_id)
+            return
+        with _held(batch):
+            table.write(transform(batch), batch_id)
+
+    return store
+
+
+def add_changes(table: SnapshotTable) -> BatchFunction:
+    """Each batch holds the rows that changed (update mode) and is written as it is."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch, batch_id)
 
     return store
 
@@ -48,13 +59,12 @@ def upsert(table: SnapshotTable, key: str) -> BatchFunction:
 
     def store(batch: DataFrame, batch_id: int) -> None:
         before = table.latest(batch_id, batch.sparkSession)
-        with _held(batch) as rows:
-            merged = batch
-            if before is not None:
-                rows += before.count()
-                same = before[key].eqNullSafe(batch[key])
-                merged = before.join(batch, same, "left_anti").unionByName(batch)
-            table.write(merged, batch_id, rows)
+        if before is None:
+            table.write(batch, batch_id)
+            return
+        with _held(batch):
+            same = before[key].eqNullSafe(batch[key])
+            table.write(before.join(batch, same, "left_anti").unionByName(batch), batch_id)
 
     return store
 
@@ -76,6 +86,6 @@ def upsert_top_words(table: SnapshotTable, k: int) -> BatchFunction:
             candidates = best.unionByName(before)
             totals = candidates.groupBy("word").agg(F.max("word_count").alias("word_count"))
             best = top_words(totals, k)
-        table.write(best, batch_id, k)
+        table.write(best, batch_id)
 
     return store

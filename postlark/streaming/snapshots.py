@@ -1,27 +1,34 @@
-"""A result table that a stream replaces batch by batch.
+"""Result tables that a stream writes batch by batch.
 
-Batch ``n`` is written to ``<path>/batch_id=<n>`` and counts once its commit
-marker exists. A replayed batch overwrites its own output and starts from the
-snapshot before it, so replaying changes nothing.
+A table may be used by several runs one after the other. Every checkpoint has a run
+folder of its own, ``<path>/run=<number>-<id>``, named in the checkpoint, so a run
+continues its own batches and neither sees nor removes those of another. Readers follow
+the newest run.
+
+Inside a run, batch ``n`` is written to ``batch_id=<n>`` and counts once a marker of our
+own is put there after the data. A replayed batch overwrites its own output and starts
+from what was before it, so replaying changes nothing.
 """
 
 import re
-from math import ceil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postlark.streaming.files import Directory
 
-_BATCH = re.compile(r"batch_id=(\d+)")
-_COMMITTED = "_SUCCESS"
+_RUN = re.compile(r"run=(\d+)-[0-9a-f]+")
+_COMMITTED = "_committed"  # names with an underscore are no data to Spark's readers
 
 
 class SnapshotTable:
-    """Numbered full copies of a result, of which the last few are kept.
+    """Numbered full copies of a result.
 
-    A reader holds on to the snapshot it opened, which is removed after ``keep``
-    newer ones; raise ``keep`` when readers run longer than that.
+    A copy is removed when ``keep`` newer ones exist and it is ``keep_seconds`` older than
+    the newest, so a reader has at least that long, however fast batches follow. ``files``
+    limits the files of a copy; without it there is one per partition of the result.
     """
 
     def __init__(
@@ -30,6 +37,8 @@ class SnapshotTable:
         path: str,
         schema: StructType,
         keep: int = 20,
+        keep_seconds: float = 600,
+        files: int | None = None,
         rows_per_file: int = 1_000_000,
     ):
         if keep < 2:
@@ -38,19 +47,62 @@ class SnapshotTable:
         self.path = path
         self.schema = schema
         self.keep = keep
+        self.keep_seconds = keep_seconds
+        self.files = files
         self.rows_per_file = rows_per_file
         self._directory = Directory(spark, path)
-
-    def _written(self) -> list[int]:
-        found = (_BATCH.fullmatch(name) for name in self._directory.names())
+        self._run: str | None = None
+
+    # --- runs ---
+
+    def _runs(self) -> list[str]:
+        found = [name for name in self._directory.names() if _RUN.fullmatch(name)]
+        return sorted(found, key=lambda name: int(_RUN.fullmatch(name).group(1)))
+
+    def bind(self, checkpoint: str) -> None:
+        """Write to the run of a checkpoint; the first time, begin a new run."""
+        noted = Directory(self.spark, f"{checkpoint}/snapshots")
+        runs = [name for name in noted.names() if _RUN.fullmatch(name)]
+        if runs:
+            self._run = runs[0]
+            return
+        last = self._runs()[-1:]
+        number = int(_RUN.fullmatch(last[0]).group(1)) + 1 if last else 0
+        self._run = f"run={number:06d}-{uuid.uuid4().hex}"
+        self._directory.create(self._run)
+        noted.create(self._run)
+
+    @property
+    def run(self) -> str:
+        """The run that is written, or else the newest."""
+        if self._run is None:
+            runs = self._runs()
+            if runs:
+                return runs[-1]
+            self._run = f"run=000000-{uuid.uuid4().hex}"
+        return self._run
+
+    def remove(self) -> None:
+        """Delete the table with all its runs. No query may still be writing."""
+        self._directory.remove()
+        self._run = None
+
+    # --- batches ---
+
+    def _written(self, kind: str = "batch_id") -> list[int]:
+        found = (re.fullmatch(rf"{kind}=(\d+)", n) for n in self._directory.names(self.run))
         return sorted(int(match.group(1)) for match in found if match)
 
-    def _is_committed(self, batch_id: int) -> bool:
-        return self._directory.exists(f"batch_id={batch_id}/{_COMMITTED}")
+    def _is_committed(self, batch_id: int, kind: str = "batch_id") -> bool:
+        return self._directory.exists(f"{self.run}/{kind}={batch_id}/{_COMMITTED}")
 
-    def committed(self) -> list[int]:
-        """The batches with a complete snapshot, oldest first."""
-        return [batch for batch in self._written() if self._is_committed(batch)]
+    def committed(self, kind: str = "batch_id") -> list[int]:
+        """The complete batches of the run, oldest first."""
+        return [batch for batch in self._written(kind) if self._is_committed(batch, kind)]
+
+    def _load(self, batch_id: int, spark: SparkSession | None, kind: str = "batch_id") -> DataFrame:
+        reader = (spark or self.spark).read.schema(self.schema)
+        return reader.parquet(f"{self.path}/{self.run}/{kind}={batch_id}")
 
     def latest(
         self, before: int | None = None, spark: SparkSession | None = None
@@ -58,8 +110,7 @@ class SnapshotTable:
         """The newest snapshot, or the newest one older than batch ``before``."""
         for batch in reversed(self._written()):
             if (before is None or batch < before) and self._is_committed(batch):
-                reader = (spark or self.spark).read.schema(self.schema)
-                return reader.parquet(f"{self.path}/batch_id={batch}")
+                return self._load(batch, spark)
         return None
 
     def read(self) -> DataFrame:
@@ -67,16 +118,66 @@ class SnapshotTable:
         newest = self.latest()
         return self.spark.createDataFrame([], self.schema) if newest is None else newest
 
-    def write(self, result: DataFrame, batch_id: int, rows: int) -> None:
-        """Store a result of at most ``rows`` rows as the snapshot of a batch.
-
-        Small results would otherwise leave one tiny file per shuffle partition.
-        """
+    def _save(self, result: DataFrame, batch_id: int, kind: str = "batch_id") -> None:
+        result = result.select([column.name for column in self.schema])
+        if self.files is not None:
+            result = result.coalesce(self.files)
+        place = f"{self.run}/{kind}={batch_id}"
         (
-            result.select([column.name for column in self.schema])
-            .coalesce(max(1, ceil(rows / self.rows_per_file)))
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/batch_id={batch_id}")
+            result.write.mode("overwrite")
+            .option("maxRecordsPerFile", self.rows_per_file)
+            .parquet(f"{self.path}/{place}")
         )
-        for old in self._written()[: -self.keep]:
-            self._directory.remove(f"batch_id={old}")
+        self._directory.touch(f"{place}/{_COMMITTED}")
+
+    def write(self, result: DataFrame, batch_id: int) -> None:
+        """Store a result as the snapshot of a batch."""
+        self._save(result, batch_id)
+        self._expire(self._written()[: -self.keep], batch_id)
+
+    def _expire(self, old: list[int], newest: int, kind: str = "batch_id") -> None:
+        """Remove those of some batches that are old enough, but never the newest."""
+        now = self._directory.modified(f"{self.run}/batch_id={newest}/{_COMMITTED}")
+        for batch in old:
+            place = f"{self.run}/{kind}={batch}"
+            if batch != newest and now - self._directory.modified(place) >= self.keep_seconds:
+                self._directory.remove(place)
+
+
+class ChangeTable(SnapshotTable):
+    """Totals that only grow, kept as the rows each batch changed.
+
+    What a batch writes follows the batch, not the table. Every ``compact_every`` batches
+    the changes so far are merged to one copy, ``whole_id=<n>``, and older changes may
+    expire. A reader merges the newest copy and the changes after it: totals never fall,
+    so the largest one of a key is its newest.
+    """
+
+    def __init__(self, *args, key: str, total: str, compact_every: int = 50, **options):
+        super().__init__(*args, **options)
+        self.key, self.total, self.compact_every = key, total, compact_every
+
+    def latest(
+        self, before: int | None = None, spark: SparkSession | None = None
+    ) -> DataFrame | None:
+        within = lambda batch: before is None or batch < before
+        whole = [batch for batch in self.committed("whole_id") if within(batch)][-1:]
+        after = whole[0] if whole else -1
+        parts = [self._load(batch, spark, "whole_id") for batch in whole]
+        parts += [self._load(b, spark) for b in self.committed() if b > after and within(b)]
+        if not parts:
+            return None
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows.groupBy(self.key).agg(F.max(self.total).alias(self.total))
+
+    def write(self, result: DataFrame, batch_id: int) -> None:
+        """Store the changed rows of a batch."""
+        self._save(result, batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self._save(self.latest(batch_id + 1, result.sparkSession), batch_id, "whole_id")
+        # What the copy before the newest holds has been readable from it for long.
+        for whole in self.committed("whole_id")[:-1][-1:]:
+            self._expire([b for b in self._written() if b <= whole], batch_id)
+            self._expire([b for b in self._written("whole_id") if b < whole], batch_id, "whole_id")

@@ -262,20 +262,21 @@ def test_intake_from_json_files_and_messages(spark, tmp_path):
     assert len(rows(decoded)) == 2
 
 
-def test_payload_that_is_not_json_gives_nulls(spark):
-    messages = spark.createDataFrame([("not json",)], "value string")
-    row = pl.decode_posts(messages).collect()[0]
-    assert row.text is None and row.user is None
-
-
 def test_registering_twice_replaces_the_view(spark):
     pl.register_posts(languages(spark, "en"), "some_posts")
     pl.register_posts(languages(spark, "fr"), "some_posts")
     assert rows(spark.sql("select language from some_posts")) == [("fr",)]
 
 
-def test_spread_rows_only_when_cores_would_idle(spark):
-    small = spark.range(10).coalesce(1)
-    assert pl.spread_rows(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 16)
-    assert pl.spread_rows(wide).rdd.getNumPartitions() == 16
+@pytest.mark.parametrize("text", ["Xyz Jul 04 10:00:00 UTC 2020", "    Jul 04 10:00:00 UTC 2020", "Sat", "", None])
+def test_created_at_needs_a_weekday(spark, text):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(pl.parse_created_at(F.col("t"))).head()[0] is None
+
+
+def test_unreadable_payloads_are_set_aside(spark):
+    payloads = [('{"text": "a"}',), ('{"text": ',), ("no json",), (None,), ('{"text": null}',)]
+    messages = spark.createDataFrame(payloads, "value string")
+    assert sorted(str(r.text) for r in pl.decode_posts(messages).collect()) == ["None", "a"]
+    rejected = [r.payload for r in pl.rejected_payloads(messages).collect()]
+    assert sorted(map(str, rejected)) == ["None", "no json", '{"text": ']

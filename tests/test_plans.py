@@ -76,9 +76,9 @@ def test_keyword_filter_does_not_shuffle(spark):
         assert "Exchange" not in initial(spark, name)
 
 
-def test_filter_runs_before_rows_are_spread(spark):
-    text = initial(spark, "session_top_words")
-    assert text.index("RoundRobin") < text.index("Filter exists")
+def test_languages_are_filtered_in_the_scan(spark):
+    for name in ("language_counts", "language_distribution"):
+        assert "PushedFilters: [IsNotNull(lang)]" in initial(spark, name)
 
 
 def test_word_expressions_stay_in_generated_code(spark):
