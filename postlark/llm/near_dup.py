@@ -344,7 +344,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one per component is kept."""
+    """The documents, all columns, of which one per component is kept.
+
+    Rows that repeat a kept ``doc_id``, or have none, all stay.
+    """
     gone = near_duplicates(documents).where(~F.col("kept")).select("doc_id").distinct()
     gone = stored(gone, "near-duplicates").select(F.col("doc_id").alias("_gone"))
     return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")

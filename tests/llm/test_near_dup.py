@@ -67,10 +67,6 @@ def test_equals_all_pairs(spark, seed, monkeypatch):
     frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, kept string")
     got = sorted((tuple(row) for row in N.near_duplicates(frame).collect()), key=str)
     assert got == expected(rows)
-    if seed == 1:
-        kept = N.without_near_duplicates(frame)
-        assert kept.columns == frame.columns
-        assert {r.doc_id for r in kept.collect()} == {d for d, _, _, keep in got if keep}
 
 
 def test_forest_joins_what_is_similar():
