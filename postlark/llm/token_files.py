@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlark.llm.coder import Prior, block_lengths, decode_blocks, encode_blocks
-from postlark.llm.common import slices, stored
+from postlark.llm.common import release, slices, stored
 from postlark.llm.files import create, each_row, open_stream, unique_name
 from postlark.llm.tokens import WordEncoder
 
@@ -149,6 +149,8 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
                 file = create(folder, name)
             file.write(pack_group(doc_ids, sizes, ids))
             docs, count = docs + len(doc_ids), count + len(ids)
+            del ids
+            release()
         if file is not None:
             file.close()
             row = [[part], [f"{folder}/{name}"], [docs], [count]]
@@ -184,6 +186,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         yield doc_id, base + start, size, crc
                         start += size
                     base += start
+                    del ids, data
+                    release()
 
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from postlark.llm.common import LOWER_WORDS, byte_table, concat_range, dictionary_words
 
 # How many words a Python worker remembers. Words met later are encoded when they occur.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 # The library's results are large objects, so few words are given to it at once.
 AT_ONCE = 10_000
 
