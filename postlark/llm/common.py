@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.streaming.runs import new_run
+from postlark.streaming.runs import new_run, settings
 
 # Fixed value: a word, as every operator here but decontamination understands it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 # How much text a Python step works on at once.
 SLICE_BYTES = 8 << 20
 
+# Rows that Python steps get at once: texts of usual length then fill a slice, and neither
+# the JVM nor the worker holds several slices.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,7 +34,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = new_run(spark, name)
-    frame.write.parquet(path)
+    with settings(spark, SMALL_BATCHES):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

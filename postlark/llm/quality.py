@@ -156,7 +156,7 @@ def measured(documents: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, size=SLICE_BYTES // 4):
+            for piece in slices(batch, size=SLICE_BYTES // 2):
                 rows = statistics(piece.column("text"))
                 flat = pa.array(rows.ravel())
                 offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * STATISTICS)
@@ -256,7 +256,7 @@ def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, place, SLICE_BYTES // 4):
+            for piece in slices(batch, place, SLICE_BYTES // 2):
                 good = model.score(statistics(piece.column(place))) >= THRESHOLD
                 yield piece.filter(pa.array(good))
 
