@@ -286,8 +286,8 @@ def across(members: DataFrame, documents: DataFrame) -> DataFrame:
     return spread.join(texts, "doc_id").groupBy("key", "one", "two").applyInPandas(link, schema)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept``."""
+def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures, the document that stands for each node, and the root of linked nodes."""
     signed = stored(signatures(documents), "signatures")
     named = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(
@@ -322,7 +322,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     more = stored(across(apart, documents), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
+    return signed, first, roots
+
 
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id, kept``."""
+    signed, first, roots = _joined(documents)
     smallest = (
         first.join(roots, "node")
         .groupBy("root")
@@ -344,10 +349,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one per component is kept.
+    """The documents, all columns, of which one row per component is kept.
 
-    Rows that repeat a kept ``doc_id``, or have none, all stay.
+    Rows are told apart by ``doc_id`` and text: only those go whose own text is a near copy,
+    also without a ``doc_id``. The smallest ``doc_id`` stays, NULL last; of rows with the same
+    id and text one stays. Texts without shingles all stay.
     """
-    gone = near_duplicates(documents).where(~F.col("kept")).select("doc_id").distinct()
-    gone = stored(gone, "near-duplicates").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    doc_id = F.col("doc_id").cast("long")
+    key = F.xxhash64(doc_id, F.col("text"))
+    signed, _, roots = _joined(documents.select(key.alias("doc_id"), "text"))
+    rows = signed.where(F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    rows = stored(rows.join(roots, "node", "left").select(
+        F.col("doc_id").alias("_key"), F.coalesce("root", "node").alias("root"), "n"
+    ), "near-rows")
+    ids = documents.select(key.alias("_key"), doc_id.alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), "id", "_key", "n")
+    best = rows.join(ids, "_key").groupBy("root").agg(F.min(order).alias("best"))
+    best = stored(best.select("best._key", "best.n"), "near-best")
+    gone = stored(rows.select("_key").join(best, "_key", "left_anti"), "near-duplicates")
+    again = best.where("n > 1").select("_key")
+    left = documents.withColumn("_key", key).join(gone, "_key", "left_anti")
+    once = left.join(again, "_key", "left_anti").select(documents.columns)
+    if again.isEmpty():
+        return once
+    columns = [F.col(name) for name in documents.columns]
+    one = left.join(again, "_key", "left_semi").groupBy("_key").agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("one")
+    )
+    return once.unionByName(one.select("one.*"))

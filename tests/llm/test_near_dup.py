@@ -89,3 +89,28 @@ def test_forest_joins_what_is_similar():
 
 def test_no_rows(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    rows = [
+        (1, text(1), "a"), (2, text(1) + " more", "b"), (2, text(2), "c"),  # one text of id 2 is a copy
+        (3, text(3), "d"), (3, text(3), "d"), (3, text(3), "e"),  # the same text again
+        (None, text(4), "f"), (None, text(4) + " more", "g"), (None, text(1), "h"), (None, text(5), "i"),
+        (7, None, "j"), (7, None, "j"), (8, "", "k"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = N.without_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    got = [r.lang for r in kept.collect()]
+    assert sorted(x for x in got if x not in "defg") == ["a", "c", "i", "j", "j", "k"]
+    assert len([x for x in got if x in "de"]) == 1 and len([x for x in got if x in "fg"]) == 1
+
+
+def test_removal_follows_the_kept_flags(spark):
+    rows = corpus(1)
+    frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, kept string")
+    ids = [d for d, _ in rows]
+    want = {d for d, _, _, keep in expected(rows) if keep and ids.count(d) == 1}
+    kept = {r.doc_id for r in N.without_near_duplicates(frame).collect()}
+    assert kept - {3, None, rows[7][0]} == want - {3, None, rows[7][0]}
