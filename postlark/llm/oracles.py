@@ -166,6 +166,118 @@ FROM joined
 """
 
 
+# The pages at hand mark their article and hold no element inside it but these.
+MAIN = r"""
+WITH articles AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS inner_html
+    FROM pages),
+blocks AS (
+    SELECT page_id, url, regexp_replace(
+        regexp_replace(inner_html, '</?(h1|p)>|<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS marked
+    FROM articles),
+decoded AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(marked, '&quot;', '"', 'g'), '&amp;?', '&', 'g') AS plain
+    FROM blocks),
+packed AS (SELECT page_id, url, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM packed
+"""
+
+# CRC-32 of a short text: every byte is taken in, then eight steps of the register.
+CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length({text}) + 1),
+        lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"""
+
+TRIE = rf"""
+WITH numbered AS (
+    SELECT conv_id, md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS k,
+           len({WORDS.format(text="text")}) AS w,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+    SELECT conv_id, {CRC.format(text="CAST(conv_id AS VARCHAR)")} % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM numbered)),
+turns AS (
+    SELECT c.conv_id, 0 AS own, n.i, n.k, n.w
+    FROM heads c JOIN numbered n ON n.conv_id = c.conv_id - c.conv_id % 20 AND n.i <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, n.i, n.k, n.w FROM heads c JOIN numbered n USING (conv_id) WHERE n.i > c.h),
+placed AS (
+    SELECT conv_id, k, w, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d FROM turns),
+paths AS (
+    SELECT conv_id, d, w, md5(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM placed
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM heads),
+lengths AS (SELECT conv_id, max(d) AS n FROM paths GROUP BY conv_id),
+nodes AS (
+    SELECT node, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                  FILTER (d = n), '')) AS ends_sha256
+    FROM paths JOIN lengths USING (conv_id) GROUP BY node),
+mothers AS (
+    SELECT c.node, p.node AS parent FROM nodes c
+    JOIN paths p ON p.conv_id = c.conv_id AND p.d = c.depth - 1),
+births AS (SELECT parent AS node, count(*) AS n_children FROM mothers GROUP BY parent),
+below AS (
+    SELECT p.node, sum(CASE WHEN b.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves,
+           sum((c.n_convs - 1) * c.w) AS saved_tokens
+    FROM nodes c LEFT JOIN births b USING (node)
+    JOIN paths p ON p.conv_id = c.conv_id AND p.d <= c.depth GROUP BY p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(b.n_children, 0) AS n_children, CAST(l.n_leaves AS BIGINT) AS n_leaves,
+       CAST(l.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below l USING (node) LEFT JOIN births b USING (node)
+LEFT JOIN mothers m USING (node) LEFT JOIN nodes q ON q.node = m.parent
+"""
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Rounds of assigning every part to its nearest entry and moving the entries."""
+
+    def assigned(number: int) -> str:
+        return f"""
+a{number} AS MATERIALIZED (
+    SELECT r, j, any_value(x) AS x, min(struct_pack(d := d, e := e)) AS best
+    FROM (SELECT p.r, p.j, p.x, c.e, CAST(list_sum(list_transform(list_zip(p.x, c.x),
+                 lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS BIGINT) AS d
+          FROM parts p JOIN c{number} c USING (j))
+    GROUP BY r, j)"""
+
+    def moved(number: int) -> str:
+        return f"""
+c{number + 1} AS MATERIALIZED (
+    SELECT c.j, c.e, coalesce(any_value(m.x), any_value(c.x)) AS x
+    FROM c{number} c LEFT JOIN (
+        SELECT j, e, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS x
+        FROM (SELECT j, best.e AS e, i, sum(x[i]) AS s, count(*) AS n
+              FROM a{number}, range(1, 5) AS places(i) GROUP BY ALL) GROUP BY j, e) m
+        USING (j, e) GROUP BY c.j, c.e)"""
+
+    steps = ",".join(assigned(n) + "," + moved(n) for n in range(rounds))
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x:
+        x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (
+    SELECT r, j, v[len(v) // 16 * j + 1:len(v) // 16 * (j + 1)] AS x FROM kept, range(16) AS places(j)),
+c0 AS MATERIALIZED (SELECT j, r - 1 AS e, x FROM parts WHERE r <= 64),
+{steps},
+{assigned(rounds)},
+coded AS (
+    SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY j) AS code,
+           CAST(sum(best.d) AS BIGINT) AS error
+    FROM a{rounds} JOIN kept USING (r) GROUP BY r, vec_id, label),
+books AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       codebooks_sha256
+FROM coded, books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": WARC,
@@ -174,4 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_odd_sketches": NEAR,
         "op7_fm_index": LEAKS,
         "op8_prefix_targets": CHAT,
+        "op11_scored_region": MAIN,
+        "op12_prefix_trie": TRIE,
+        "op13_laesa_codes": _codes_sql(),
     }

@@ -4,7 +4,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from postlark.llm import archives, attribution, chat, decontaminate, lm, mixing, near_dup, quality, token_files, top_k
+from postlark.llm import (
+    archives,
+    attribution,
+    chat,
+    decontaminate,
+    extract,
+    lm,
+    mixing,
+    near_dup,
+    part_codes,
+    prefix_trie,
+    quality,
+    token_files,
+    top_k,
+)
 from postlark.llm.common import stored, table
 from postlark.streaming.runs import new_run
 
@@ -77,6 +91,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(documents, folder, WORD_BPE))
 
 
+def op11_scored_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = part_codes.codes(table(spark, sf_dir, "embeddings"))
+    coded = part_codes.with_label_errors(stored(coded, "codes"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_arc_to_warc": op1_arc_to_warc,
@@ -89,4 +118,7 @@ def queries() -> dict:
         "op8_prefix_targets": op8_prefix_targets,
         "op9_fourier_quality": op9_fourier_quality,
         "op10_token_files": op10_token_files,
+        "op11_scored_region": op11_scored_region,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_laesa_codes": op13_laesa_codes,
     }
