@@ -1,13 +1,12 @@
 """Result tables that a stream writes batch by batch.
 
-A table may be used by several runs one after the other. Every checkpoint has a run
-folder of its own, ``<path>/run=<number>-<id>``, named in the checkpoint, so a run
-continues its own batches and neither sees nor removes those of another. Readers follow
-the newest run.
-
-Inside a run, batch ``n`` is written to ``batch_id=<n>`` and counts once a marker of our
-own is put there after the data. A replayed batch overwrites its own output and starts
-from what was before it, so replaying changes nothing.
+A table may be used by several runs one after the other; ``commits`` says how a run is
+begun and what makes a batch of it count. Every checkpoint has a run folder of its own, so
+a run continues its own batches and neither sees nor removes those of another. Readers
+follow the newest run, also one that begins after they were opened.
+
+A replayed batch overwrites its own output and starts from what was before it, so
+replaying changes nothing.
 """
 
 import re
@@ -17,20 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postlark.streaming.files import Directory
-
-_RUN = re.compile(r"run=(\d+)-[0-9a-f]+")
-_COMMITTED = "_committed"  # names with an underscore are no data to Spark's readers
+from postlark.streaming.commits import CommitLog
 
 
 class SnapshotTable:
     """Numbered full copies of a result.
 
     A copy is removed when ``keep`` newer ones exist and it is ``keep_seconds`` older than
-    the newest, so a reader has at least that long, however fast batches follow. ``files``
-    limits the files of a copy; without it there is one per partition of the result.
+    the newest, so a reader has at least that long, however fast batches follow. Ages are
+    those of the markers. ``files`` limits the files of a copy; without it there is one
+    per partition of the result.
     """
 
+    format = "parquet"
+    _write_options: dict = {}
+    _read_options: dict = {}
+
     def __init__(
         self,
         spark: SparkSession,
@@ -50,67 +51,58 @@ class SnapshotTable:
         self.keep_seconds = keep_seconds
         self.files = files
         self.rows_per_file = rows_per_file
-        self._directory = Directory(spark, path)
+        self._log = CommitLog(spark, path)
         self._run: str | None = None
 
     # --- runs ---
 
-    def _runs(self) -> list[str]:
-        found = [name for name in self._directory.names() if _RUN.fullmatch(name)]
-        return sorted(found, key=lambda name: int(_RUN.fullmatch(name).group(1)))
-
     def bind(self, checkpoint: str) -> None:
         """Write to the run of a checkpoint; the first time, begin a new run."""
-        noted = Directory(self.spark, f"{checkpoint}/snapshots")
-        runs = [name for name in noted.names() if _RUN.fullmatch(name)]
-        if runs:
-            self._run = runs[0]
-            return
-        last = self._runs()[-1:]
-        number = int(_RUN.fullmatch(last[0]).group(1)) + 1 if last else 0
-        self._run = f"run={number:06d}-{uuid.uuid4().hex}"
-        self._directory.create(self._run)
-        noted.create(self._run)
+        self._run = self._log.run_of(checkpoint)
 
     @property
-    def run(self) -> str:
-        """The run that is written, or else the newest."""
+    def run(self) -> str | None:
+        """The run that this object writes, or else the newest, if there is one."""
+        return self._run or self._log.newest()
+
+    def _own_run(self) -> str:
+        """The run to write; without a checkpoint, one of this object's own."""
         if self._run is None:
-            runs = self._runs()
-            if runs:
-                return runs[-1]
-            self._run = f"run=000000-{uuid.uuid4().hex}"
+            self._run = self._log.claim(uuid.uuid4().hex)
         return self._run
 
     def remove(self) -> None:
         """Delete the table with all its runs. No query may still be writing."""
-        self._directory.remove()
+        self._log.remove_all()
         self._run = None
 
     # --- batches ---
 
-    def _written(self, kind: str = "batch_id") -> list[int]:
-        found = (re.fullmatch(rf"{kind}=(\d+)", n) for n in self._directory.names(self.run))
-        return sorted(int(match.group(1)) for match in found if match)
-
-    def _is_committed(self, batch_id: int, kind: str = "batch_id") -> bool:
-        return self._directory.exists(f"{self.run}/{kind}={batch_id}/{_COMMITTED}")
+    def _marked(self, kind: str = "batch_id", run: str | None = None) -> dict[int, float]:
+        """The complete batches of the run, oldest first, and when they were committed."""
+        run = run or self.run
+        times = self._log.times(run) if run else {}
+        found = {int(name.removeprefix(f"{kind}=")): t for name, t in times.items() if name.startswith(f"{kind}=")}
+        return dict(sorted(found.items()))
 
     def committed(self, kind: str = "batch_id") -> list[int]:
         """The complete batches of the run, oldest first."""
-        return [batch for batch in self._written(kind) if self._is_committed(batch, kind)]
+        return list(self._marked(kind))
+
+    def _reader(self, spark: SparkSession | None):
+        return (spark or self.spark).read.schema(self.schema).format(self.format).options(**self._read_options)
 
-    def _load(self, batch_id: int, spark: SparkSession | None, kind: str = "batch_id") -> DataFrame:
-        reader = (spark or self.spark).read.schema(self.schema)
-        return reader.parquet(f"{self.path}/{self.run}/{kind}={batch_id}")
+    def _load(self, run: str, names: list[str], spark: SparkSession | None) -> DataFrame:
+        return self._reader(spark).load([f"{self.path}/{run}/{name}" for name in names])
 
     def latest(
         self, before: int | None = None, spark: SparkSession | None = None
     ) -> DataFrame | None:
         """The newest snapshot, or the newest one older than batch ``before``."""
-        for batch in reversed(self._written()):
-            if (before is None or batch < before) and self._is_committed(batch):
-                return self._load(batch, spark)
+        run = self.run
+        for batch in reversed(self._marked(run=run)):
+            if before is None or batch < before:
+                return self._load(run, [f"batch_id={batch}"], spark)
         return None
 
     def read(self) -> DataFrame:
@@ -118,30 +110,34 @@ class SnapshotTable:
         newest = self.latest()
         return self.spark.createDataFrame([], self.schema) if newest is None else newest
 
-    def _save(self, result: DataFrame, batch_id: int, kind: str = "batch_id") -> None:
+    def _store(self, result: DataFrame, name: str, files: int | None) -> None:
+        run = self._own_run()
         result = result.select([column.name for column in self.schema])
-        if self.files is not None:
-            result = result.coalesce(self.files)
-        place = f"{self.run}/{kind}={batch_id}"
+        if files is not None:
+            result = result.coalesce(files)
         (
             result.write.mode("overwrite")
+            .format(self.format)
+            .options(**self._write_options)
             .option("maxRecordsPerFile", self.rows_per_file)
-            .parquet(f"{self.path}/{place}")
+            .save(f"{self.path}/{run}/{name}")
         )
-        self._directory.touch(f"{place}/{_COMMITTED}")
+        self._log.mark(run, name)
+
+    def _save(self, result: DataFrame, batch_id: int, kind: str = "batch_id") -> None:
+        self._store(result, f"{kind}={batch_id}", self.files)
 
     def write(self, result: DataFrame, batch_id: int) -> None:
         """Store a result as the snapshot of a batch."""
         self._save(result, batch_id)
-        self._expire(self._written()[: -self.keep], batch_id)
+        marked = self._marked()
+        self._expire(list(marked)[: -self.keep], marked, marked[batch_id])
 
-    def _expire(self, old: list[int], newest: int, kind: str = "batch_id") -> None:
-        """Remove those of some batches that are old enough, but never the newest."""
-        now = self._directory.modified(f"{self.run}/batch_id={newest}/{_COMMITTED}")
+    def _expire(self, old: list[int], marked: dict[int, float], now: float, kind: str = "batch_id") -> None:
+        """Remove those of some batches that are old enough."""
         for batch in old:
-            place = f"{self.run}/{kind}={batch}"
-            if batch != newest and now - self._directory.modified(place) >= self.keep_seconds:
-                self._directory.remove(place)
+            if now - marked[batch] >= self.keep_seconds:
+                self._log.remove(self._own_run(), f"{kind}={batch}")
 
 
 class ChangeTable(SnapshotTable):
@@ -153,6 +149,8 @@ class ChangeTable(SnapshotTable):
     so the largest one of a key is its newest.
     """
 
+    merge = staticmethod(F.max)
+
     def __init__(self, *args, key: str, total: str, compact_every: int = 50, **options):
         super().__init__(*args, **options)
         self.key, self.total, self.compact_every = key, total, compact_every
@@ -160,24 +158,149 @@ class ChangeTable(SnapshotTable):
     def latest(
         self, before: int | None = None, spark: SparkSession | None = None
     ) -> DataFrame | None:
-        within = lambda batch: before is None or batch < before
-        whole = [batch for batch in self.committed("whole_id") if within(batch)][-1:]
+        return self._merged(before, before, spark)
+
+    def _merged(self, before: int | None, copies_before: int | None, spark: SparkSession | None) -> DataFrame | None:
+        """Copies and changes up to a batch, merged; ``None`` stands for no limit."""
+        run = self.run
+        names = self._log.times(run) if run else {}
+
+        def numbers(kind: str, limit: int | None) -> list[int]:
+            found = sorted(int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}="))
+            return [n for n in found if limit is None or n < limit]
+
+        whole = numbers("whole_id", copies_before)[-1:]
         after = whole[0] if whole else -1
-        parts = [self._load(batch, spark, "whole_id") for batch in whole]
-        parts += [self._load(b, spark) for b in self.committed() if b > after and within(b)]
+        parts = [f"whole_id={batch}" for batch in whole]
+        parts += [f"batch_id={batch}" for batch in numbers("batch_id", before) if batch > after]
         if not parts:
             return None
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows.groupBy(self.key).agg(F.max(self.total).alias(self.total))
+        rows = self._load(run, parts, spark)
+        return rows.groupBy(self.key).agg(self.merge(self.total).alias(self.total))
 
     def write(self, result: DataFrame, batch_id: int) -> None:
         """Store the changed rows of a batch."""
         self._save(result, batch_id)
         if (batch_id + 1) % self.compact_every == 0:
-            self._save(self.latest(batch_id + 1, result.sparkSession), batch_id, "whole_id")
+            self._save(self._merged(batch_id + 1, batch_id, result.sparkSession), batch_id, "whole_id")
         # What the copy before the newest holds has been readable from it for long.
-        for whole in self.committed("whole_id")[:-1][-1:]:
-            self._expire([b for b in self._written() if b <= whole], batch_id)
-            self._expire([b for b in self._written("whole_id") if b < whole], batch_id, "whole_id")
+        wholes = self._marked("whole_id")
+        for whole in list(wholes)[:-1][-1:]:
+            marked = self._marked()
+            now = marked[batch_id]
+            self._expire([b for b in marked if b <= whole], marked, now)
+            self._expire([b for b in wholes if b < whole], wholes, now, "whole_id")
+
+
+class SumTable(ChangeTable):
+    """Totals as the sums of what each batch adds.
+
+    Batches need no state: each stores its own counts, once per batch id, so a replay
+    replaces what it counted before. Compaction and readers add them up.
+    """
+
+    merge = staticmethod(F.sum)
+
+
+class AppendTable(SnapshotTable):
+    """Rows that only ever come in, in a number of files and markers that stays bounded.
+
+    Batch ``n`` is a segment of its own. Whenever ``fan`` segments of a size are there, at
+    fixed batch numbers, they are merged into one of the next size, so a row is copied once
+    per size and ``B`` batches leave at most ``fan - 1`` segments of each of ``log(B) /
+    log(fan)`` sizes, besides those merged within the last ``keep_seconds``, which readers
+    may still use. Segments beyond ``segment_bytes`` are not copied any more; from there
+    on the number follows the volume. The merged markers are the whole manifest.
+    """
+
+    def __init__(
+        self,
+        *args,
+        fan: int = 16,
+        segment_bytes: int = 1 << 30,
+        file_bytes: int = 128 << 20,
+        format: str = "parquet",
+        write_options: dict | None = None,
+        read_options: dict | None = None,
+        **options,
+    ):
+        super().__init__(*args, **options)
+        if fan < 2:
+            raise ValueError("merge at least two segments at a time")
+        self.fan, self.segment_bytes, self.file_bytes = fan, segment_bytes, file_bytes
+        self.format = format
+        self._write_options, self._read_options = write_options or {}, read_options or {}
+
+    _SEGMENT = re.compile(r"segment=(\d+)-(\d+)-(\d+)")
+
+    @staticmethod
+    def _name(level: int, first: int, last: int) -> str:
+        return f"segment={level}-{first}-{last}"
+
+    def _segments(self, run: str | None = None) -> dict[tuple[int, int, int], float]:
+        """``level, first, last`` batch of each committed segment, and since when."""
+        run = run or self.run
+        times = self._log.times(run) if run else {}
+        found = ((self._SEGMENT.fullmatch(name), t) for name, t in times.items())
+        return {tuple(map(int, match.groups())): t for match, t in found if match}
+
+    @staticmethod
+    def _cover(segments) -> list[tuple[int, int, int]]:
+        """Segments that hold every batch once: the largest, and what none of them holds."""
+        chosen, covered = [], -1
+        for segment in sorted(segments, key=lambda s: (s[1], -s[2])):
+            if segment[1] > covered:
+                chosen.append(segment)
+                covered = segment[2]
+        return chosen
+
+    def committed(self, kind: str = "batch_id") -> list[int]:
+        """The batches whose rows are in the table, oldest first."""
+        return [batch for _, first, last in self._cover(self._segments()) for batch in range(first, last + 1)]
+
+    def latest(self, before: int | None = None, spark: SparkSession | None = None) -> DataFrame | None:
+        """All rows, or those of the batches before ``before``, which must begin a segment."""
+        run = self.run
+        cover = self._cover(s for s in self._segments(run) if before is None or s[2] < before)
+        return self._load(run, [self._name(*segment) for segment in cover], spark) if cover else None
+
+    def write(self, result: DataFrame, batch_id: int) -> None:
+        """Add the rows of a batch; a batch that is there already is replaced or left."""
+        segments = self._segments()
+        if any(level and first <= batch_id <= last for level, first, last in segments):
+            return  # a replay of a batch that has been merged
+        self._store(result, self._name(0, batch_id, batch_id), self.files)
+        level, width = 0, 1
+        while (batch_id + 1) % (width * self.fan) == 0:
+            width *= self.fan
+            first = batch_id + 1 - width
+            if not self._merge(level + 1, first, batch_id, result.sparkSession):
+                break
+            level += 1
+        self._clean()
+
+    def _merge(self, level: int, first: int, last: int, spark: SparkSession) -> bool:
+        """Copy the segments between two batches into one, unless they are large already."""
+        parts = [s for s in self._cover(self._segments()) if first <= s[1] and s[2] <= last]
+        if [s for s in parts if s[0] != level - 1] or not parts:
+            return False
+        size = sum(self._log.size(self._own_run(), self._name(*part)) for part in parts)
+        if size > self.segment_bytes:
+            return False
+        rows = self._load(self._own_run(), [self._name(*part) for part in parts], spark)
+        self._store(rows, self._name(level, first, last), 1 + size // self.file_bytes)
+        return True
+
+    def _clean(self) -> None:
+        """Remove segments that have been part of a larger one for long enough."""
+        segments = self._segments()
+        now, top = max(segments.values()), max(level for level, _, _ in segments)
+        for level, first, last in segments:
+            for above in range(level + 1, top + 1):
+                width = self.fan**above
+                start = first // width * width
+                merged = segments.get((above, start, start + width - 1))
+                if merged is not None:
+                    if now - merged >= self.keep_seconds:
+                        self._log.remove(self._own_run(), self._name(level, first, last))
+                    break
