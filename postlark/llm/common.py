@@ -1,6 +1,11 @@
 """Helpers of the training-data operators: stored tables, word dictionaries, byte classes."""
 
 import ctypes
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.streaming.runs import new_run, settings
+from postlark.streaming.files import Directory
+from postlark.streaming.runs import new_run
 
 # Fixed value: a word, as every operator here but decontamination understands it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +32,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch") -> Iterator[str]:
+    """A folder for all tables that operators store inside the block, removed at its end.
+
+    Results read those tables, so write or collect them before the block ends.
+    """
+    folder = new_run(spark, name)
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        Directory(spark, folder).remove()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path nobody has used yet, inside the scratch folder if there is one."""
+    folder = _FOLDER.get()
+    return new_run(spark, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_SMALL_LOCK = threading.Lock()
+_SMALL: dict[int, tuple[int, dict]] = {}
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Set ``SMALL_BATCHES`` while any block of a session runs; blocks do not wait."""
+    key = id(spark)
+    with _SMALL_LOCK:
+        running, before = _SMALL.get(key, (0, {}))
+        if not running:
+            before = {name: spark.conf.get(name, None) for name in SMALL_BATCHES}
+            for name, value in SMALL_BATCHES.items():
+                spark.conf.set(name, value)
+        _SMALL[key] = running + 1, before
+    try:
+        yield
+    finally:
+        with _SMALL_LOCK:
+            running, before = _SMALL.pop(key)
+            if running > 1:
+                _SMALL[key] = running - 1, before
+            else:
+                for name, value in before.items():
+                    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -33,12 +90,20 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     gives the planner the true size of the table.
     """
     spark = frame.sparkSession
-    path = new_run(spark, name)
-    with settings(spark, SMALL_BATCHES):
+    path = new_folder(spark, name)
+    with _small_batches(spark):
         frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def unused(wanted: str, names: list[str]) -> str:
+    """A column name like ``wanted`` that no column has, in any case."""
+    taken = {name.lower() for name in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; NULL counts 0.
 

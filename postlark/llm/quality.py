@@ -7,9 +7,9 @@ weights. Raw scores of the labelled rows are then mapped to probabilities by iso
 regression over narrow bins of the raw score.
 
 Scale: the text is read once for the statistics, whose table is small, and every labelled
-training row takes part. The labelled rows are dealt to ``SUM_TASKS`` tasks, so the driver
-gets that many sums of ``FEATURES`` squared numbers, whatever the input; bins are bounded
-by the range of the raw score. Scoring needs no shuffle.
+training row takes part. Each task sums its own rows and ``SUM_TASKS`` tasks add up the sums,
+so the driver gets that many of ``FEATURES`` squared numbers, whatever the input; bins are
+bounded by the range of the raw score. Scoring needs no shuffle.
 
 Defined cases: a NULL or empty text has all statistics 0 and is scored like any other. Of
 labels, rows with NULL ``quality`` or ``doc_id`` are left out; repeated labels each count.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlark.llm.common import LOWER_WORDS, SLICE_BYTES, dictionary_words, slices, stored
+from postlark.llm.common import LOWER_WORDS, SLICE_BYTES, dictionary_words, slices, stored, unused
 
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.3
@@ -148,23 +148,20 @@ def isotonic(x: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     return table[:, 0] / table[:, 2], table[:, 1] / table[:, 2]
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """``doc_id, held_out, stats`` of every document."""
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("stats", T.ArrayType(T.DoubleType()))]
-    )
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _statistics_of(texts: pa.Array) -> pa.Array:
+    """The statistics of a batch of texts; nothing but the texts comes to Python."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    rows = [statistics(piece.column("text")) for piece in slices(batch, size=SLICE_BYTES // 4)]
+    flat = np.concatenate([np.zeros((0, STATISTICS)), *rows]).ravel()
+    offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * STATISTICS)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, size=SLICE_BYTES // 2):
-                rows = statistics(piece.column("text"))
-                flat = pa.array(rows.ravel())
-                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * STATISTICS)
-                stats = pa.ListArray.from_arrays(offsets, flat)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), stats], ["doc_id", "stats"])
 
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, schema)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "stats")
+def measured(documents: DataFrame) -> DataFrame:
+    """``doc_id, held_out, stats`` of every document."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _statistics_of("text").alias("stats"))
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
@@ -201,9 +198,19 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             both = np.concatenate([square.ravel(), side]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([both], pa.binary())], ["sums"])
 
-    dealt = rows.repartition(SUM_TASKS, F.xxhash64("doc_id")).select("stats", "quality")
-    parts = dealt.mapInArrow(sums, "sums binary").collect()
-    total = sum(np.frombuffer(part.sums) for part in parts)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for one in batch.column("sums"):
+                own = np.frombuffer(one.as_py())
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    # Every task sums its own rows; a few tasks add up these sums before the driver does.
+    parts = rows.select("stats", "quality").mapInArrow(sums, "sums binary")
+    few = parts.repartition(SUM_TASKS).mapInArrow(added, "sums binary").collect()
+    total = sum(np.frombuffer(part.sums) for part in few)
     square = total[: (FEATURES + 1) ** 2].reshape(FEATURES + 1, FEATURES + 1)
     damp = np.eye(FEATURES + 1) * RIDGE
     damp[-1, -1] = 1e-9
@@ -250,14 +257,19 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, all columns; no shuffle of texts."""
-    model = fit(stored(measured(documents), "statistics"), labels)
-    place = documents.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, place, SLICE_BYTES // 2):
-                good = model.score(statistics(piece.column(place))) >= THRESHOLD
-                yield piece.filter(pa.array(good))
-
-    return documents.mapInArrow(keep, documents.schema)
+    """The documents that are not rejected, all columns; no shuffle of texts.
+
+    Texts are written once beside their statistics, so that they are measured once and
+    never leave the JVM but for that; the rows are then filtered by their statistics.
+    """
+    name = unused("stats", documents.columns)
+    kept = stored(documents.withColumn(name, _statistics_of("text")), "measured")
+    doc_id = F.col("doc_id").cast("long")
+    stats = kept.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(name).alias("stats"))
+    model = fit(stats, labels)
+
+    @F.arrow_udf("double")
+    def score(rows: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(rows)))
+
+    return kept.where(score(name) >= THRESHOLD).select(documents.columns)

@@ -19,8 +19,7 @@ from postlark.llm import (
     token_files,
     top_k,
 )
-from postlark.llm.common import stored, table
-from postlark.streaming.runs import new_run
+from postlark.llm.common import new_folder, stored, table
 
 # The tokenizer files of this machine; every executor has them at the same place.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,7 +31,7 @@ PROBE_ID = -7
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_run(spark, "archives")
+    folder = new_folder(spark, "archives")
     arc = archives.write_arc(table(spark, sf_dir, "pages"), f"{folder}/arc")
     warc = archives.convert_arc(arc, f"{folder}/warc")
     records = archives.read_warc(warc).where(F.col("record_type").isin("response", "revisit"))
@@ -86,7 +85,7 @@ def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_run(spark, "tokens")
+    folder = new_folder(spark, "tokens")
     documents = table(spark, sf_dir, "documents")
     return token_files.read_tokens(token_files.write_tokens(documents, folder, WORD_BPE))
 

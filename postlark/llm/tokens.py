@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from postlark.llm.common import LOWER_WORDS, byte_table, concat_range, dictionary_words
+from postlark.llm.common import LOWER_WORDS, byte_table, concat_range, dictionary_words, mix64
 
 # How many words a Python worker remembers. Words met later are encoded when they occur.
 CACHED_WORDS = 600_000
@@ -24,15 +24,53 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))).
 _SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)").fullmatch
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A number per word: its bytes as digits of a polynomial modulo 2**64."""
+    words = pa.concat_arrays([words])
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64).cumprod()
+    raw *= powers[concat_range(np.zeros(len(sizes), np.int64), sizes)]
+    return mix64(np.add.reduceat(raw, starts))
+
+
 class _Known:
-    """The words a worker has encoded so far."""
+    """The words a worker has encoded so far, found by a sorted table of their hashes.
+
+    The table outlives batches: a batch costs a search per word of its own, not a table
+    of all words. Of words with one hash the first stays; others are never known.
+    """
 
     def __init__(self):
         self.words = pa.array([], pa.large_string())
         self.starts = self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.hashes = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word is kept, and whether it is."""
+        if not len(self.words) or not len(words):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        hashes = _hashes(words)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.at[place]
+        same = self.hashes[place] == hashes
+        equal = pc.equal(self.words.take(pa.array(at)), words)
+        return at, same & equal.to_numpy(zero_copy_only=False)
 
     def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        hashes = np.concatenate([self.hashes, _hashes(words)])
+        at = np.concatenate([self.at, len(self.words) + np.arange(len(words))])
+        # Two sorted runs merge in one pass; of equal hashes the older word comes first.
+        fresh = np.argsort(hashes[len(self.hashes) :], kind="stable") + len(self.hashes)
+        order = np.concatenate([np.arange(len(self.hashes)), fresh])
+        order = order[np.argsort(hashes[order], kind="stable")]
+        self.hashes, self.at = hashes[order], at[order]
         self.words = pa.concat_arrays([self.words, words])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -99,11 +137,9 @@ class WordEncoder:
         New words are remembered while there is room.
         """
         known = self.known
-        at = pc.index_in(dictionary, value_set=known.words)
-        new = pc.is_null(at)
-        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
-        fresh = dictionary.filter(new)
-        new = new.to_numpy(zero_copy_only=False)
+        at, held = known.find(dictionary)
+        new = ~held
+        fresh = dictionary.filter(pa.array(new))
         sizes, ids = self._library(fresh, lowered)
         starts_all, sizes_all = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         starts_all[~new], sizes_all[~new] = known.starts[at[~new]], known.sizes[at[~new]]
