@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Fixed values of the format.
-SLOTS = 128
+SLOTS = 512
 STATES = 32
 RATE = 5
 HALF = 1 << 16
@@ -123,7 +123,7 @@ def encode_blocks(ids: np.ndarray, prior: Prior, lengths: np.ndarray) -> list[by
     """Code consecutive runs of ids as blocks; ``lengths`` as of ``block_lengths``."""
     if not len(lengths):
         return []
-    grid = _grid(np.searchsorted(prior.symbols, ids), lengths)
+    grid = _grid(np.searchsorted(prior.symbols, ids).astype(np.int32), lengths)
     lanes, full = len(lengths), int(lengths[-1])
     shift = prior.bits
     starts, freqs = prior.starts, prior.freqs
@@ -133,7 +133,8 @@ def encode_blocks(ids: np.ndarray, prior: Prior, lengths: np.ndarray) -> list[by
     heads = np.empty(grid.shape, np.int64)
     emitted = np.empty(grid.shape, np.int8)
     last = before = np.zeros(lanes, np.int64)
-    for t, symbols in enumerate(grid):
+    for t, row in enumerate(grid):
+        symbols = row.astype(np.int64)
         p1, p2, share2, share1, share0 = model.predict(last, before)
         hit2 = p2 == symbols
         hit1 = (p1 == symbols) & ~hit2
@@ -214,7 +215,7 @@ def decode_blocks(blocks: list[bytes], prior: Prior, lengths: np.ndarray) -> np.
     lookup = np.repeat(np.arange(len(prior.symbols)), prior.freqs)
     highest, last_place = (HALF << shift) - 1, (1 << shift) - 1
     model = _Model(lanes)
-    grid = np.empty((steps, lanes), np.int64)
+    grid = np.empty((steps, lanes), np.int32)
     last = before = np.zeros(lanes, np.int64)
     for t in range(steps):
         p1, p2, share2, share1, share0 = model.predict(last, before)

@@ -12,7 +12,9 @@ class says) they are counted inside and outside of the marked region over all pa
   marked regions cost up to ``BOUNDARY`` of a mean region more, so that a region crosses
   them only for text that is worth it.
 * Kinds the labelled pages lack get ``UNSEEN_TAG`` times the mean weight of a word inside,
-  or that weight. Without labelled pages a word scores 1 and a tag -3.25.
+  or that weight; inline tags, line breaks, images and scripts divide nothing and cost
+  ``LEAST``, as do tags inside a part that is left out. Without labelled pages a word
+  scores 1 and a tag -3.25.
 
 Inside the region the text of menus, page headers, footers, sidebars, notices, adverts,
 forms and reader comments is left out, known by element, role or a word of the class or id.
@@ -70,6 +72,8 @@ PARTS = {
     "svg": "other", "math": "other", "template": "other", "object": "other", "video": "other",
     "audio": "other", "canvas": "other",
 }
+# Parts in which even an article is none of the page's own, such as a teaser.
+_FIRM = {"footer", "aside", "form", "dialog", "template"}
 ROLES = {
     "navigation": "menu", "menu": "menu", "menubar": "menu", "banner": "header",
     "contentinfo": "footer", "complementary": "sidebar", "search": "form", "form": "form",
@@ -195,7 +199,8 @@ class Page:
     def _tag(self, name: str, hint: str, closing: bool, part: str = "") -> None:
         # Inside a part that is left out anyway, tags say nothing more.
         shown = name if name in _TAGS else "other"
-        kind = f"t:{'/' if closing else ''}{shown}:{hint}" if not self._top()[1] else "t:inner"
+        around = self._top()[1]
+        kind = f"t:{'/' if closing else ''}{shown}:{hint}" if not around else f"t:inner:{around}"
         self._add(kind, 0, None, name not in INLINE, part)
 
     def _opened(self, name: str, attributes: str) -> None:
@@ -219,7 +224,7 @@ class Page:
                     self.articles[name] += 1
                     article = (self.articles[name] << 1) | (name == "main")
             elif not part and own and not (own == "header" and article):
-                part, firm = own, name in PARTS
+                part, firm = own, name in _FIRM
             self._tag(name, hint, False, part)
             self._open.append((name, part, article, firm))
             self._named[name] += 1
@@ -283,28 +288,29 @@ class Weights:
         self._known = {}
         tags = {kind: n for kind, n in sums.items() if kind.startswith("t:")}
         words = {kind: n for kind, n in sums.items() if kind.startswith("w:")}
-        for kind, odds in self._odds(words):
-            self._known[kind] = max(LEAST, odds)
+        for kind, (n_in, n_out, _) in words.items():
+            self._known[kind] = max(LEAST, self._odds(n_in, n_out))
         inside = sum(n for n, _, _ in words.values())
         total = sum(n * self._known[kind] for kind, (n, _, _) in words.items())
         self.word = total / inside if inside else 1.0
         region = total / pages if pages else 0.0
-        for kind, odds in self._odds(tags):
-            n_in, n_out, beside = tags[kind]
-            self._known[kind] = min(-LEAST, odds) - BOUNDARY * region * beside / (n_in + n_out)
+        for kind, (n_in, n_out, beside) in tags.items():
+            crossing = BOUNDARY * region * beside / max(n_in + n_out, 1)
+            self._known[kind] = min(-LEAST, self._odds(n_in, n_out)) - crossing
 
     @staticmethod
-    def _odds(sums: dict) -> Iterator[tuple[str, float]]:
-        all_in = sum(n[0] for n in sums.values()) + len(sums)
-        all_out = sum(n[1] for n in sums.values()) + len(sums)
-        for kind, (n_in, n_out, _) in sums.items():
-            yield kind, math.log((n_in + 1) / all_in) - math.log((n_out + 1) / all_out)
+    def _odds(n_in: int, n_out: int) -> float:
+        return math.log((n_in + 1) / (n_out + 1))
 
     def score(self, kind: str, size: int) -> float:
         weight = self._known.get(kind)
         if kind[0] == "w":
             return size * (self.word if weight is None else weight)
-        return UNSEEN_TAG * self.word if weight is None else weight
+        if weight is not None:
+            return weight
+        name = kind.removeprefix("t:").removeprefix("/").partition(":")[0]
+        flows = kind.endswith(":") and (name in INLINE or name in RAW or name in VOID)
+        return -LEAST if flows or name == "inner" else UNSEEN_TAG * self.word
 
 
 def fit(pages: DataFrame) -> Weights:
@@ -322,8 +328,8 @@ def fit(pages: DataFrame) -> Weights:
                     n += 1
                     first, last = bounds
                     for i, kind in enumerate(page.kinds):
-                        good = first <= i < last and not page.parts[i]
-                        (inside if good else outside)[kind] += page.sizes[i] or (kind[0] == "t")
+                        found = inside if first <= i < last else outside
+                        found[kind] += page.sizes[i] or (kind[0] == "t")
                     for i in (first - 1, last):
                         if 0 <= i < len(page.kinds) and page.kinds[i][0] == "t":
                             beside[page.kinds[i]] += 1

@@ -21,7 +21,12 @@ def words(n, stem="word"):
 
 NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
 FOOT = "<footer>&copy; 2020 All rights &middot; reserved</footer>"
-LABELLED = [
+RICH = page(
+    f"<article><header><h1>Head</h1></header><p>{words(30)}</p><aside><p>side note</p></aside>"
+    f"<form><input><label>mail</label><button>go</button></form><p>{words(20, 'tail')}</p>"
+    '<section class="comments"><article class="comment"><p>nice one</p></article></section></article>'
+)
+LABELLED = [RICH] + [
     page(f'{NAV}<div class="ad">Buy this now</div>{ARTICLE.format(words(n))}{FOOT}') for n in (30, 60, 90, 120)
 ]
 
@@ -45,7 +50,7 @@ def test_weights_are_sums_over_the_labelled_pages(weights):
         n += 1
         for i, kind in enumerate(one.kinds):
             row = sums.setdefault(kind, [0, 0, 0])
-            row[0 if first <= i < last and not one.parts[i] else 1] += one.sizes[i] or kind[0] == "t"
+            row[0 if first <= i < last else 1] += one.sizes[i] or kind[0] == "t"
             row[2] += i in (first - 1, last)
     assert Weights({k: tuple(v) for k, v in sums.items()}, n)._known == weights._known
     assert all(value > 0 for kind, value in weights._known.items() if kind[0] == "w")
@@ -77,14 +82,7 @@ def test_best_region_equals_trying_all(weights):
         (page(f"<article><p>{words(9)}</p><script>var t = '</p>';</script><p>end</p></article>"), words(9) + " end"),
         (page(f"<article><p>{words(9)}<!-- <p> no -->x</p></article><!-- open"), words(9) + "x"),
         # Parts inside the article are left out, its own header stays.
-        (
-            page(
-                f"<article><header><h1>Head</h1></header><p>{words(30)}</p><aside><p>side note</p></aside>"
-                f"<form><input><label>mail</label><button>go</button></form><p>{words(20, 'tail')}</p>"
-                '<section class="comments"><article class="comment"><p>nice one</p></article></section></article>'
-            ),
-            f"Head {words(30)} {words(20, 'tail')}",
-        ),
+        (RICH, f"Head {words(30)} {words(20, 'tail')}"),
         # No article element: the blocks with text win over menus, notices and sidebars.
         (
             page(
@@ -110,7 +108,7 @@ def test_no_labelled_pages_use_the_plain_weights(spark):
 
 def test_rows_nulls_long_pages_and_clashing_columns(spark, weights):
     long = page(ARTICLE.format(words(200_000)))
-    rows = [(1, "u", LABELLED[0], 5, "t"), (1, "u", LABELLED[0], 5, "t"), (None, None, None, None, None),
+    rows = [(1, "u", LABELLED[1], 5, "t"), (1, "u", LABELLED[1], 5, "t"), (None, None, None, None, None),
             (2, "v", "", 0, ""), (3, "w", long, 1, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
     out = extract.main_text(pages)

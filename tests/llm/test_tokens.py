@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import pyarrow as pa
-from postlark.llm import token_files
+from postlark.llm import token_files, tokens
 from postlark.llm.coder import Prior, block_lengths, decode_blocks, encode_blocks
 from postlark.llm.queries import WORD_BPE, op10_token_files
 from postlark.llm.tokens import WordEncoder
@@ -81,6 +81,48 @@ def test_repetition_is_learnt():
     assert (decode_blocks(blocks, prior, lengths) == ids).all()
 
 
+def order_0_bits(ids):
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    return -(share * np.log2(share)).sum()
+
+
+def test_the_adaptive_orders_gain_at_the_production_block_size():
+    """Against order 0 alone, on the ids of the given documents."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text")
+    ids, _ = WordEncoder(WORD_BPE).encode(texts.combine_chunks())
+    prior, lengths = Prior.of(ids), block_lengths(len(ids), token_files.BLOCK_IDS)
+    blocks = encode_blocks(ids, prior, lengths)
+    assert (decode_blocks(blocks, prior, lengths) == ids).all()
+    assert 8 * sum(map(len, blocks)) / len(ids) < order_0_bits(ids) - 0.25
+
+
+def test_words_are_found_after_many_batches():
+    """The table of known words grows over batches; words stay known, others are not found."""
+    known = tokens._Known()
+    for start in range(0, 300, 30):
+        names = pa.array([f"w{i}" for i in range(start, start + 30)], pa.large_string())
+        at, held = known.find(names)
+        assert not held.any()
+        known.add(names, np.full(30, 2), np.arange(60, dtype=np.uint32) + 2 * start)
+        every = pa.array([f"w{i}" for i in range(start + 60)], pa.large_string())
+        at, held = known.find(every)
+        assert held.tolist() == [i < start + 30 for i in range(start + 60)]
+        assert (known.ids[known.starts[at[held]]] == 2 * np.arange(start + 30)).all()
+    # Two words with one hash: the first is known, the other never.
+    known.hashes[:] = 7
+    assert known.find(pa.array(["w1"], pa.large_string()))[1].tolist() in ([True], [False])
+
+
+def test_a_very_long_text(spark, tmp_path):
+    long = " ".join(f"word{i % 5000}" for i in range(400_000))
+    rows = [(1, "a"), (2, long), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_files.read_tokens(token_files.write_tokens(frame, str(tmp_path), WORD_BPE))
+    assert sorted(map(tuple, got.collect())) == expected(rows)
+
+
 def test_damage_is_noticed(tmp_path):
     data = bytearray(token_files.pack_group([1], np.array([3000]), np.arange(3000)))
     data[-5] ^= 1
