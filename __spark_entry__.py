@@ -8,6 +8,7 @@ JSON payload of ``events`` for nested posts.
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,15 @@ from postlark.streaming import reports
 from postlark.streaming.runs import new_run
 
 KEYWORDS = "that with, dans ,,"
+SIGNAL_KEYWORDS = "signup, k error, click"
+
+# A thousand phrases of two terms; few of them occur.
+MANY_KEYWORDS = [
+    f"{first} {second}"
+    for first in ("that", "with", "dans", "this", "from", "nicht", "para", "tion", "avec", "und")
+    for second in ("les", "est", "sur", "der", "die", "que", "los", "del", "and", "for")
+    + tuple(f"absent{n}" for n in range(90))
+]
 
 # A sample lookup. It leaves out "es", which keeps its code.
 NAMES_SQL = "VALUES ('de', 'German'), ('en', 'English'), ('fr', 'French')"
@@ -362,6 +372,97 @@ def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("conv_id long, turn long, line string").parquet(f"{run}/result")
 
 
+def word_counts_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of several batches, read from the query's state; it writes no result."""
+    run = new_run(spark, "word-state")
+    posts = split_stream(spark, sf_dir, "documents", run)
+    reports.run_word_state(posts, f"{run}/checkpoint", "text", **START).awaitTermination()
+    return pl.state_totals(spark, f"{run}/checkpoint", "word", "word_count")
+
+
+def landing_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landing table of CSV segments, merged while batches come in."""
+    run = new_run(spark, "landing-table")
+    posts = documents_as_posts(split_stream(spark, sf_dir, "documents", run))
+    table = pl.landing_table(spark, f"{run}/landing", "csv", fan=2)
+    pl.land_batches(posts, table, f"{run}/checkpoint", ONCE).awaitTermination()
+    return posts_as_documents(table.read())
+
+
+def stream_language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts named from a lookup file that is written anew between two batches."""
+    run = new_run(spark, "lookup-stream")
+    first = spark.sql("SELECT code, upper(name) AS name FROM (" + NAMES_SQL + ") AS names(code, name)")
+    first.write.options(header=True, quoteAll=True, escape='"').csv(f"{run}/names")
+    names = pl.Lookup(spark, f"{run}/names", f"{run}/prepared")
+    result = pl.SnapshotTable(spark, f"{run}/result", LANGUAGE_DISTRIBUTION)
+    posts = split_stream(spark, sf_dir, "documents", run)
+    seen = []
+
+    def report(counts: DataFrame) -> DataFrame:
+        seen.append(None)
+        if len(seen) == 3:
+            again = language_names(spark).write.mode("overwrite")
+            again.options(header=True, quoteAll=True, escape='"').csv(f"{run}/names")
+        return pl.name_languages(pl.with_share(counts), names.current(counts.sparkSession))
+
+    counts = pl.language_counts(posts, "lang")
+    reports.run_report(counts, report, result, f"{run}/checkpoint", **START).awaitTermination()
+    return result.read()
+
+
+def broken_lines(spark: SparkSession, sf_dir: str, run: str) -> str:
+    """Events as JSON lines of which those of one type have lost their last character."""
+    nested = nested_events(spark, sf_dir)
+    line = F.to_json(F.struct(*nested.columns))
+    cut = F.when(F.col("user.name") == "error", F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    nested.withColumn("line", line).select(cut.alias("value")).repartition(3).write.text(f"{run}/json")
+    return f"{run}/json"
+
+
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cannot be read of JSON lines (a stream) and of CSV files (a table).
+
+    The broken JSON lines are shown by their user id and length; the CSV files have texts
+    where numbers belong.
+    """
+    run = new_run(spark, "rejected")
+    scan = pl.scan_posts(spark, broken_lines(spark, sf_dir, run), stream=True, maxFilesPerTrigger=1)
+    lines = pl.rejected_lines(scan)
+    (
+        lines.writeStream.format("parquet")
+        .option("checkpointLocation", f"{run}/checkpoint")
+        .trigger(**ONCE)
+        .start(f"{run}/lines")
+        .awaitTermination()
+    )
+    kept = spark.read.schema("line string").parquet(f"{run}/lines")
+    users = F.regexp_extract("line", r'"id":(\d+)', 1)
+    from_json = kept.select(
+        F.lit("json").alias("kind"),
+        F.concat(users, F.lit(" "), F.regexp_extract("line", r'"text":"(\w+)', 1),
+                 F.lit(" "), F.endswith("line", F.lit("}")).cast("string")).alias("line"),
+    )
+    events = table(spark, sf_dir, "events")
+    amount = F.when(F.col("event_type") == "view", F.lit("many")).otherwise(F.col("user_id").cast("string"))
+    events.select("event_id", amount.alias("amount"), "event_type").write.csv(f"{run}/csv")
+    scan = pl.scan_posts(spark, f"{run}/csv", "csv", "event_id long, amount long, event_type string")
+    from_csv = pl.rejected_lines(scan).select(F.lit("csv").alias("kind"), "line")
+    return from_json.unionByName(from_csv)
+
+
+def readable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts of the same broken files, flattened: a line that is cut makes no post."""
+    path = broken_lines(spark, sf_dir, new_run(spark, "readable"))
+    return without_zone(pl.flatten_posts(pl.read_posts(spark, path)))
+
+
+def keyword_filter_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand phrases, of which the index tries those whose rarest term a text has."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pl.keyword_filter(documents, MANY_KEYWORDS, "text").select("doc_id")
+
+
 def stream_landing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = new_run(spark, "stream-landing")
     posts = documents_as_posts(table_stream(spark, sf_dir, "documents"))
@@ -409,6 +510,36 @@ def _session(spark: SparkSession, sf_dir: str, posts: DataFrame | None = None, *
     return session
 
 
+def post_session_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that the change signal of a session brings, added up.
+
+    The source is a stream of JSON lines some of which are broken.
+    """
+    run = new_run(spark, "signal")
+    scan = pl.scan_posts(spark, broken_lines(spark, sf_dir, run), stream=True, maxFilesPerTrigger=1)
+    totals: dict[str, int] = {}
+
+    def on_change(report: str, numbers) -> None:
+        for name, n in numbers.items():
+            totals[name] = totals.get(name, 0) + n
+
+    session = pl.PostSession(
+        spark, pl.flatten_posts(scan), SIGNAL_KEYWORDS, on_change=on_change, state_partitions=STATE_PARTITIONS
+    )
+    session.start(once=True)
+    session.await_termination()
+    session.stop()
+    kept = {
+        "taken": totals["taken"], "rejected": totals["rejected"], "matched": totals["matched"],
+        "landed": session.landed().count(), "kept apart": session.rejected().count(),
+    }
+    return spark.createDataFrame(list(kept.items()), "metric string, n long")
+
+
+def post_session_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir).landed().select(F.col("UserID").alias("doc_id"), F.col("Text").alias("text"))
+
+
 def post_session_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session(spark, sf_dir).top_words()
 
@@ -433,14 +564,14 @@ def post_session_languages_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def post_session_languages_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = partly_empty_languages(spark, sf_dir)
-    return _session(spark, sf_dir, posts, landing_format="csv").languages()
+    return _session(spark, sf_dir, posts, landing_format="csv", readers="each").languages()
 
 
 def post_session_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session with its usual triggers, stopped when it has seen the table."""
     posts = documents_as_posts(table_stream(spark, sf_dir, "documents"))
     session = pl.PostSession(
-        spark, posts, KEYWORDS, language_names(spark), state_partitions=STATE_PARTITIONS
+        spark, posts, KEYWORDS, language_names(spark), state_partitions=STATE_PARTITIONS, readers="each"
     )
     session.start()
     session.queries["intake"].processAllAvailable()
@@ -457,6 +588,16 @@ UNKNOWN_LANGUAGES = """(
 TOKENS = r"""list_transform(regexp_split_to_array(text, '\s+'),
     lambda x: lower(regexp_replace(x, '[^\p{L}\p{M}\p{N}_]', '', 'g')))"""
 
+# Phrases with an absent term never match; a hundred pairs of terms are left.
+MANY_SQL = f"""
+    SELECT DISTINCT doc_id
+    FROM (SELECT doc_id, {TOKENS} AS tokens FROM documents),
+         (VALUES ('that'), ('with'), ('dans'), ('this'), ('from'), ('nicht'), ('para'), ('tion'),
+                 ('avec'), ('und')) AS one(a),
+         (VALUES ('les'), ('est'), ('sur'), ('der'), ('die'), ('que'), ('los'), ('del'), ('and'),
+                 ('for')) AS two(b)
+    WHERE list_contains(tokens, a) AND list_contains(tokens, b)"""
+
 UNKNOWN_MATCHING = f"""(
     SELECT * FROM (
         SELECT CASE WHEN source = 'src0' THEN NULL WHEN source = 'src1' THEN 'und'
@@ -525,11 +666,9 @@ def _training_data() -> tuple[dict, dict]:
         import corpus_pipeline
         from postlark.llm.oracles import oracle_sql as more_sql
         from postlark.llm.queries import queries as more_queries
-    except ModuleNotFoundError as error:
-        if (error.name or "") != "corpus_pipeline" and not (error.name or "").startswith(
-            "postlark.llm"
-        ):
-            raise
+    except ImportError as error:
+        # Also where a package or file they need is missing: the other queries need none.
+        warnings.warn(f"the training-data queries are left out: {error}", stacklevel=2)
         return {}, {}
     sql = more_sql()
     if corpus_pipeline.ORACLE_SQL is not None:
@@ -586,6 +725,14 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_json_files": stream_json_files,
         "rejected_payloads": rejected_payloads,
         "language_names_file": language_names_file,
+        "word_counts_from_state": word_counts_from_state,
+        "landing_table_roundtrip": landing_table_roundtrip,
+        "stream_language_lookup": stream_language_lookup,
+        "rejected_lines": rejected_lines,
+        "readable_lines": readable_lines,
+        "keyword_filter_indexed": keyword_filter_indexed,
+        "post_session_signal": post_session_signal,
+        "post_session_landed": post_session_landed,
     }
 
 
@@ -663,4 +810,21 @@ def core_oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN language = 'es' THEN 'es'
                         ELSE 'the "' || upper(language) || '", so called' END AS language,
                    tweet_count FROM ({counts})""",
+        "word_counts_from_state": words,
+        "landing_table_roundtrip": documents,
+        "stream_language_lookup": distribution,
+        "rejected_lines": """
+            SELECT 'json' AS kind, user_id || ' ' || event_type || ' false' AS line
+            FROM events WHERE event_type = 'error'
+            UNION ALL SELECT 'csv', event_id || ',many,view' FROM events WHERE event_type = 'view'""",
+        "readable_lines": f"{flat} WHERE event_type <> 'error'",
+        "keyword_filter_indexed": MANY_SQL,
+        "post_session_signal": """
+            SELECT metric, n FROM (
+                SELECT count(*) FILTER (event_type <> 'error') AS taken,
+                       count(*) FILTER (event_type = 'error') AS rejected,
+                       count(*) FILTER (event_type IN ('signup', 'click')) AS matched,
+                       matched AS landed, rejected AS "kept apart"
+                FROM events) UNPIVOT (n FOR metric IN (taken, rejected, matched, landed, "kept apart"))""",
+        "post_session_landed": f"SELECT doc_id, text FROM {MATCHING}",
     }

@@ -19,19 +19,37 @@ from postlark.plans.pipelines import (
     session_top_words,
 )
 from postlark.schemas import LANGUAGE_NAMES, NESTED_POST, POST
-from postlark.sources.landing import read_landing, stream_landing, write_landing
-from postlark.sources.lookup import read_language_names
-from postlark.sources.posts import decode_posts, read_posts, register_posts, rejected_payloads
+from postlark.sources.landing import (
+    land_batches,
+    landing_table,
+    read_landing,
+    stream_landing,
+    write_landing,
+)
+from postlark.sources.lookup import Lookup, read_language_names
+from postlark.sources.posts import (
+    decode_posts,
+    read_posts,
+    readable_posts,
+    register_posts,
+    rejected_lines,
+    rejected_payloads,
+    scan_posts,
+)
+from postlark.streaming.reports import state_totals
 from postlark.streaming.session import PostSession
-from postlark.streaming.snapshots import ChangeTable, SnapshotTable
+from postlark.streaming.snapshots import AppendTable, ChangeTable, SnapshotTable, SumTable
 
 __all__ = [
+    "AppendTable",
     "ChangeTable",
     "LANGUAGE_NAMES",
+    "Lookup",
     "NESTED_POST",
     "POST",
     "PostSession",
     "SnapshotTable",
+    "SumTable",
     "chart_series",
     "created_at_text",
     "decode_posts",
@@ -41,6 +59,8 @@ __all__ = [
     "intake",
     "keyword_filter",
     "keyword_tokens",
+    "land_batches",
+    "landing_table",
     "language_counts",
     "language_distribution",
     "most_frequent_words",
@@ -50,10 +70,14 @@ __all__ = [
     "read_landing",
     "read_language_names",
     "read_posts",
+    "readable_posts",
     "register_posts",
+    "rejected_lines",
     "rejected_payloads",
     "require_full",
+    "scan_posts",
     "session_top_words",
+    "state_totals",
     "stream_landing",
     "top_words",
     "with_share",

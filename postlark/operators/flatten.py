@@ -4,14 +4,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlark.functions.text import created_at_text
+from postlark.schemas import REJECTED
 
 
 def flatten_posts(posts: DataFrame) -> DataFrame:
     """Project ``schemas.NESTED_POST`` rows onto ``schemas.POST``.
 
     Place and coordinates are only meaningful together: when either is missing,
-    both become an empty string.
+    both become an empty string. The column ``_rejected`` of a ``scan_posts`` is kept.
     """
+    rejected = [REJECTED] if REJECTED in posts.columns else []
     located = F.col("place").isNotNull() & F.col("place.coordinates").isNotNull()
     return posts.select(
         F.col("user.name").alias("UserName"),
@@ -26,4 +28,5 @@ def flatten_posts(posts: DataFrame) -> DataFrame:
         F.col("retweet_count").alias("RetweetCount"),
         F.col("text").alias("Text"),
         F.col("retweeted_status").isNotNull().alias("isRetweet"),
+        *rejected,
     )

@@ -18,20 +18,20 @@ def language_counts(posts: DataFrame, language: str = "Language") -> DataFrame:
     return counts.select(name.alias("language"), "tweet_count")
 
 
+def single_names(names: DataFrame) -> DataFrame:
+    """One row per code. A code listed twice would double its count; the smallest name is
+    taken."""
+    return names.where(F.col("code").isNotNull()).groupBy("code").agg(F.min("name").alias("name"))
+
+
 def name_languages(counts: DataFrame, names: DataFrame) -> DataFrame:
     """Replace codes by names from ``names(code, name)``; unknown codes stay.
 
     The caller supplies ``names``, so its size is not known here and the join
     carries no broadcast hint: Spark broadcasts it below
-    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise joins by shuffle. A
-    code listed twice would double its count; the smallest name is taken instead.
+    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise joins by shuffle.
     """
-    single = (
-        names.where(F.col("code").isNotNull())
-        .groupBy("code")
-        .agg(F.min("name").alias("name"))
-        .withColumnRenamed("code", "_code")
-    )
+    single = single_names(names).withColumnRenamed("code", "_code")
     others = [column for column in counts.columns if column != "language"]
     return counts.join(single, counts["language"] == single["_code"], "left").select(
         F.coalesce(single["name"], counts["language"]).alias("language"),

@@ -66,3 +66,6 @@ FEED = _table(
     ("line", T.StringType()),
     ("arrived", T.TimestampType()),
 )
+
+# The column that holds a line nobody could read, and else NULL.
+REJECTED = "_rejected"

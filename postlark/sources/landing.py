@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructType
 
 from postlark.schemas import POST
+from postlark.streaming.snapshots import AppendTable
 
 RECORDS_PER_FILE = 100_000
 
@@ -79,6 +80,26 @@ def stream_landing(
     return (writer.queryName(name) if name else writer).start(path)
 
 
+def landing_table(
+    spark: SparkSession, path: str, format: str = "parquet", schema: StructType = POST, **options
+) -> AppendTable:
+    """A landing directory whose files and manifest stay bounded; see ``AppendTable``.
+
+    Write the batches of a stream to it with ``add_changes`` or ``land_batches``.
+    """
+    csv = {"write_options": _WRITE, "read_options": _READ, "rows_per_file": RECORDS_PER_FILE}
+    return AppendTable(spark, path, schema, format=format, **(csv if format == "csv" else {}), **options)
+
+
+def land_batches(
+    posts: DataFrame, table: AppendTable, checkpoint: str, trigger: dict, name: str | None = None
+) -> StreamingQuery:
+    """Keep adding a stream of posts to a landing table, each post once."""
+    table.bind(checkpoint)
+    writer = empty_as_null(posts).writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
+    return (writer.queryName(name) if name else writer).foreachBatch(table.write).start()
+
+
 def read_landing(
     spark: SparkSession,
     path: str,

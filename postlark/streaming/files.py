@@ -3,6 +3,7 @@
 They need a classic session: Spark Connect has no access to the JVM.
 """
 
+import hashlib
 import os
 import uuid
 
@@ -40,6 +41,15 @@ class Directory:
             raise
         return {one.getPath().getName(): one.getModificationTime() / 1000 for one in found}
 
+    def fingerprint(self) -> str:
+        """A name for the state of a file, or of all files below a directory: it changes
+        when one of them is added, removed or written again."""
+        found, files = [], self._files.listFiles(self._at(""), True)
+        while files.hasNext():
+            one = files.next()
+            found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+        return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:32]
+
     def size(self, name: str = "") -> int:
         """Bytes of a file, or of all files below a directory."""
         return self._files.getContentSummary(self._at(name)).getLength()

@@ -1,6 +1,6 @@
 """``foreachBatch`` functions that keep a result table up to date."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -42,7 +42,7 @@ def replace_all(
 
 
 def add_changes(table: SnapshotTable) -> BatchFunction:
-    """Each batch holds the rows that changed (update mode) and is written as it is."""
+    """Each batch holds what changed or came in and is written as it is."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         table.write(batch, batch_id)
@@ -50,6 +50,25 @@ def add_changes(table: SnapshotTable) -> BatchFunction:
     return store
 
 
+def discard(batch: DataFrame, batch_id: int) -> None:
+    """Run the batch for its state and keep nothing else."""
+    batch.write.format("noop").mode("overwrite").save()
+
+
+def fan_out(outputs: Sequence[tuple[SnapshotTable, Callable[[DataFrame], DataFrame]]]) -> BatchFunction:
+    """Several tables from one batch, which is read once and held meanwhile.
+
+    Each table counts a batch once, so a batch that failed half-way is simply done again.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        with _held(batch):
+            for table, make in outputs:
+                table.write(make(batch), batch_id)
+
+    return store
+
+
 def upsert(table: SnapshotTable, key: str) -> BatchFunction:
     """Each batch holds the rows that changed (update mode): replace them by key.
 

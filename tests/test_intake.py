@@ -1,0 +1,273 @@
+"""Intake: lines nobody can read, long keyword lists, changing lookups and what a session tells."""
+
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import postlark as pl
+from postlark.operators import keywords as K
+from postlark.schemas import LANGUAGE_DISTRIBUTION, WORD_COUNTS
+from postlark.streaming import reports
+from postlark.streaming.session import PostSession
+
+ONCE = {"availableNow": True}
+
+
+def rows(frame):
+    return sorted(tuple(row) for row in frame.collect())
+
+
+# --- rejected lines ---
+
+GOOD = ['{"text": "one", "lang": "en"}', '{"text": "two\\nlines", "user": {"id": 5, "name": "n"}}', "{}"]
+BAD = ['{"text": "cut', "no json", '{"user": {"id": "five"}}', "[1", '{"favorite_count": {}}']
+
+
+@pytest.fixture(scope="module")
+def json_lines(tmp_path_factory):
+    path = tmp_path_factory.mktemp("lines")
+    for i, line in enumerate(GOOD + BAD):
+        (path / f"{i}.json").write_text(f"{line}\n\n   \n")
+    return str(path)
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_json_lines_are_split_in_one_scan(spark, json_lines, tmp_path, stream):
+    scan = pl.scan_posts(spark, json_lines, stream=stream)
+
+    def result(frame, name):
+        if not stream:
+            return frame
+        writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{name}-c")
+        assert writer.trigger(**ONCE).start(f"{tmp_path}/{name}").awaitTermination(120)
+        return spark.read.schema(frame.schema).parquet(f"{tmp_path}/{name}")
+
+    assert rows(result(pl.rejected_lines(scan), "bad")) == sorted((line,) for line in BAD)
+    texts = result(pl.readable_posts(scan).select("text", "user.id"), "good").collect()
+    assert sorted(map(tuple, texts), key=str) == sorted([("one", None), ("two\nlines", 5), (None, None)], key=str)
+    lines = result(pl.feed_lines(pl.flatten_posts(pl.readable_posts(scan))), "feed")
+    assert rows(lines) == [("n:two\nlines",), ("null:null",), ("null:one",)]
+
+
+def test_what_is_rejected_does_not_depend_on_the_columns(spark, json_lines, tmp_path):
+    posts = pl.read_posts(spark, json_lines)
+    assert posts.count() == posts.select("text").count() == posts.select("lang").count() == len(GOOD)
+    (tmp_path / "a.csv").write_text('1,en,5\n2,"fr",x\n3,de\n4,es,6,7\n5,"a,b",8\n')
+    schema = "id long, lang string, n long"
+    scan = pl.scan_posts(spark, str(tmp_path), "csv", schema)
+    bad = [("2,\"fr\",x",), ("3,de",), ("4,es,6,7",)]
+    assert rows(pl.rejected_lines(scan)) == sorted(bad)
+    posts = pl.read_posts(spark, str(tmp_path), "csv", schema)
+    assert rows(posts.select("lang")) == [("a,b",), ("en",)]
+    assert posts.count() == 2 and pl.rejected_lines(scan).count() == 3
+
+
+def test_multi_line_json_and_options(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text":\n "x"},\n {"text": "y"}]')
+    (tmp_path / "b.json").write_text('{"text":\n "cut"')
+    got = pl.read_posts(spark, str(tmp_path), multiLine=True)
+    assert rows(got.select("text")) == [("x",), ("y",)]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.json").write_text("{'text': 'single'}\n")
+    assert pl.read_posts(spark, str(lines)).select("text").first().text == "single"
+    strict = pl.scan_posts(spark, str(lines), allowSingleQuotes="false")
+    assert rows(pl.rejected_lines(strict)) == [("{'text': 'single'}",)]
+
+
+# --- long keyword lists ---
+
+
+def plain(text, phrases):
+    tokens = {re.sub(r"[^\w]", "", token).lower() for token in re.split(r"[\t\n\x0b\f\r ]+", text or "")}
+    return any(all(term.lower() in tokens for term in phrase.split()) for phrase in phrases)
+
+
+def test_ten_thousand_phrases_equal_plain_python(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["Über", "naïve", "日本", "x_y", "ΣΑΣ"]
+    phrases = [" ".join(rng.sample(vocabulary, rng.choice([1, 2, 3, 4]))) for _ in range(10_000)]
+    phrases = [p for p in phrases if len(p.split()) > 1] + ["Über naïve", "日本", "w1 w1 w2"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(25))).swapcase() for _ in range(600)]
+    texts += ["", None, "über, NAÏVE!", "a 日本", "w2 w1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, Text string")
+    got = {row.id for row in pl.keyword_filter(frame, phrases).select("id").collect()}
+    expected = {i for i, text in enumerate(texts) if text is not None and plain(text, phrases)}
+    assert got == expected and 20 < len(got) < 100
+
+
+def test_index_and_plain_conditions_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(12)]
+    frame = spark.createDataFrame(
+        [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(300)], "id long, Text string"
+    )
+    phrases = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 3]))) for _ in range(9)]
+    expected = rows(pl.keyword_filter(frame, phrases))
+    monkeypatch.setattr(K, "INDEXED_PHRASES", 1)
+    assert rows(pl.keyword_filter(frame, phrases)) == expected and expected
+
+
+def test_the_index_is_one_constant_of_the_plan(spark):
+    """It is read once when the plan is made, not once a row, and a post tries one bucket a token."""
+    frame = spark.createDataFrame([(1, "w1 w2")], "id long, Text string")
+    plan = pl.keyword_filter(frame, [f"w{i} w{i + 1}" for i in range(100)])._jdf.queryExecution().optimizedPlan()
+    assert "from_json" not in plan.toString().lower()
+
+
+def test_phrases_stand_under_their_rarest_term():
+    assert K._rarest_first([["a", "b"], ["a", "cc"], ["a", "b", "d"]]) == [["b", "a"], ["cc", "a"], ["d", "b", "a"]]
+
+
+# --- lookups that change ---
+
+
+def write_names(path, **names):
+    path.write_text("code,name\n" + "".join(f'{code},"{name}"\n' for code, name in names.items()))
+
+
+def test_lookup_is_prepared_once_per_version(spark, tmp_path):
+    file = tmp_path / "names.csv"
+    write_names(file, en="English", fr="French")
+    lookup = pl.Lookup(spark, str(file), f"{tmp_path}/prepared", keep=1)
+    first = lookup.current()
+    assert rows(first) == [("en", "English"), ("fr", "French")]
+    stamp = next((tmp_path / "prepared").glob("version=*/part-*")).stat().st_mtime_ns
+    assert rows(lookup.current()) == rows(first)
+    assert next((tmp_path / "prepared").glob("version=*/part-*")).stat().st_mtime_ns == stamp
+    file.write_text("code,name\nen,Englisch\nen,Anglais\nde,Deutsch\n")
+    os.utime(file, ns=(1, file.stat().st_mtime_ns + 10**9))
+    assert rows(lookup.current()) == [("de", "Deutsch"), ("en", "Anglais")]
+    assert rows(first) == [("en", "English"), ("fr", "French")]  # an open reader goes on
+    write_names(file, xx="X")
+    assert rows(lookup.current()) == [("xx", "X")]
+    assert len(list((tmp_path / "prepared").glob("version=*"))) == 2
+    # Another process finds the version prepared.
+    again = pl.Lookup(spark, str(file), f"{tmp_path}/prepared")
+    assert rows(again.current()) == [("xx", "X")]
+
+
+def test_a_lookup_that_changes_between_two_batches(spark, tmp_path):
+    file, source = tmp_path / "names.csv", str(tmp_path / "posts")
+    write_names(file, en="English", fr="French")
+    spark.createDataFrame([("en",), ("fr",)], "Language string").write.parquet(source)
+    table = pl.SnapshotTable(spark, f"{tmp_path}/result", LANGUAGE_DISTRIBUTION)
+    lookup = pl.Lookup(spark, str(file), f"{tmp_path}/prepared")
+    posts = pl.read_posts(spark, source, "parquet", "Language string", stream=True)
+    query = reports.run_language_distribution(posts, lookup, table, f"{tmp_path}/checkpoint", partitions=2)
+    try:
+        query.processAllAvailable()
+        assert [row[0] for row in rows(table.read())] == ["English", "French"]
+        write_names(file, en="Anglais", fr="Français", de="Allemand")
+        spark.createDataFrame([("en",), ("de",)], "Language string").write.mode("append").parquet(source)
+        query.processAllAvailable()
+        assert rows(table.read()) == [("Allemand", 1, 0.25), ("Anglais", 2, 0.5), ("Français", 1, 0.25)]
+    finally:
+        query.stop()
+
+
+# --- totals from the state ---
+
+
+def test_totals_from_the_state_follow_a_running_query(spark, tmp_path):
+    source = str(tmp_path / "posts")
+    schema = "Text string"
+    spark.createDataFrame([("word word other",)], schema).write.parquet(source)
+    posts = pl.read_posts(spark, source, "parquet", schema, stream=True)
+    query = reports.run_word_state(posts, f"{tmp_path}/checkpoint", partitions=2)
+    try:
+        query.processAllAvailable()
+        totals = pl.state_totals(spark, f"{tmp_path}/checkpoint", "word", "word_count")
+        assert totals.schema.names == WORD_COUNTS.names and rows(totals) == [("other", 1), ("word", 2)]
+        spark.createDataFrame([("word",), ("third",)], schema).write.mode("append").parquet(source)
+        query.processAllAvailable()
+        totals = pl.state_totals(spark, f"{tmp_path}/checkpoint", "word", "word_count")
+        assert rows(totals) == [("other", 1), ("third", 1), ("word", 3)]
+    finally:
+        query.stop()
+
+
+# --- a session with one reader ---
+
+
+def nested(spark, path, lines):
+    spark.createDataFrame([(line,) for line in lines], "value string").repartition(2).write.mode("append").text(path)
+
+
+def test_a_session_counts_and_keeps_rejected_lines(spark, tmp_path):
+    path = str(tmp_path / "in")
+    nested(spark, path, ['{"text": "tea time now", "lang": "en"}'] * 3 + ['{"text": "no"}', '{"text": "tea'])
+    signals = []
+    scan = pl.scan_posts(spark, path, stream=True, maxFilesPerTrigger=1)
+    session = PostSession(
+        spark, pl.flatten_posts(scan), "tea", k=1, on_change=lambda name, numbers: signals.append((name, dict(numbers)))
+    )
+    assert set(session.start()) == {"intake"}
+    session.queries["intake"].processAllAvailable()
+    nested(spark, path, ['{"text": "tea again", "lang": "fr"}', "broken"])
+    session.stop(drain=True)
+    assert session.metrics() == {"taken": 5, "rejected": 2, "matched": 4}
+    assert {name for name, _ in signals} == {"intake"}
+    assert {key: sum(n[key] for _, n in signals) for key in signals[0][1]} == session.metrics()
+    assert rows(session.rejected()) == [("broken",), ('{"text": "tea',)]
+    assert rows(session.languages()) == [("en", 3, 0.75), ("fr", 1, 0.25)]
+    assert rows(session.top_words()) == [("time", 3)]
+    assert session.landed().count() == 4
+    assert rows(session.feed().select("line").distinct()) == [("null:tea again",), ("null:tea time now",)]
+    run_dir = session.run_dir
+    session.remove()
+    assert not os.path.exists(run_dir)
+
+
+def test_files_of_a_session_stay_bounded(spark, tmp_path):
+    """The default session merges what its batches leave; Spark's sinks have no log there."""
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("tea", "en")], "Text string, Language string").limit(0).write.parquet(path)
+    posts = spark.createDataFrame([("some tea", "en")], "Text string, Language string")
+    for _ in range(20):
+        posts.write.mode("append").parquet(path)
+    schema = posts.schema
+    incoming = pl.read_posts(spark, path, "parquet", schema, stream=True, maxFilesPerTrigger=1)
+    full = incoming.select(
+        *[F.col(c.name) if c.name in schema.names else F.lit(None).cast(c.dataType).alias(c.name) for c in pl.POST]
+    )
+    session = PostSession(spark, full, "tea", state_partitions=1, files_per_batch=1)
+    session.start(once=True)
+    session.await_termination()
+    session.stop()
+    assert session.landed().count() == session.feed().count() == 20
+    assert rows(session.languages()) == [("en", 20, 1.0)]
+    for table in (session._landing, session._feed):
+        cover = table._cover(table._segments())
+        assert len(cover) <= 2 + 15
+    names = [entry for _, folders, _ in os.walk(session.run_dir) for entry in folders]
+    assert "_spark_metadata" not in names
+
+
+def test_a_failed_session_with_one_reader_raises(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("tea", "en")], "Text string, Language string").write.parquet(path)
+    broken = F.udf(lambda text: 1 // 0, "string")
+    incoming = pl.read_posts(spark, path, "parquet", "Text string, Language string", stream=True)
+    posts = incoming.select(
+        *[
+            broken("Text").alias("Place") if c.name == "Place"
+            else F.col(c.name) if c.name in incoming.columns else F.lit(None).cast(c.dataType).alias(c.name)
+            for c in pl.POST
+        ]
+    )
+    session = PostSession(spark, posts, "tea")
+    session.start()
+    with pytest.raises(Exception, match="division|ZeroDivision"):
+        session.await_termination()
+    for call in (session.languages, session.top_words, session.feed, session.metrics, session.stop):
+        with pytest.raises(Exception, match="division|ZeroDivision"):
+            call()
+
+
+def test_readers_must_be_known(spark):
+    with pytest.raises(ValueError):
+        PostSession(spark, spark.range(1), "tea", readers="two")

@@ -321,11 +321,12 @@ def test_shared_root_is_required_on_a_cluster():
         shared_root(session("yarn", None))
 
 
+@pytest.mark.parametrize("readers", ["one", "each"])
 @pytest.mark.parametrize("landing_format", ["parquet", "csv"])
-def test_session_once(spark, source, posts, names, landing_format):
+def test_session_once(spark, source, posts, names, landing_format, readers):
     keywords = "that with, dans"
     session = pl.PostSession(
-        spark, stream(spark, source), keywords, names, landing_format=landing_format
+        spark, stream(spark, source), keywords, names, landing_format=landing_format, readers=readers
     )
     session.start(once=True)
     session.await_termination()
@@ -334,6 +335,7 @@ def test_session_once(spark, source, posts, names, landing_format):
     assert rows(session.languages()) == rows(pl.language_distribution(matching, names))
     assert rows(session.top_words()) == rows(pl.most_frequent_words(matching))
     assert feed(session) == rows(pl.feed(matching))
+    assert rows(session.landed()) == rows(matching.withColumn("Text", F.nullif("Text", F.lit(""))))
 
 
 def feed(session):
@@ -353,7 +355,7 @@ def test_session_runs_signals_stops_and_starts_over(spark, posts, tmp_path):
         if {"intake", "languages", "words", "feed"} <= set(signals):
             changed.set()
 
-    session = pl.PostSession(spark, incoming, "that", on_change=on_change)
+    session = pl.PostSession(spark, incoming, "that", on_change=on_change, readers="each")
     queries = session.start()
     assert set(queries) == {"intake", "languages", "words", "feed"}
     assert all(query.isActive for query in queries.values())
@@ -387,7 +389,7 @@ def test_both_landing_formats_agree_on_empty_languages(spark, tmp_path):
     got = []
     for landing_format in ("parquet", "csv"):
         session = pl.PostSession(
-            spark, stream(spark, f"{tmp_path}/posts"), "tea", landing_format=landing_format
+            spark, stream(spark, f"{tmp_path}/posts"), "tea", landing_format=landing_format, readers="each"
         )
         session.start(once=True)
         session.await_termination()
@@ -411,9 +413,9 @@ def test_a_failed_query_is_raised(spark, posts, tmp_path, report, monkeypatch):
             S, "stream_landing", lambda p, *a, **k: original(p.withColumn("Place", broken("Text")), *a, **k)
         )
     elif report == "feed":
-        original = S.reports.run_feed
+        original = S.reports.run_feed_table
         monkeypatch.setattr(
-            S.reports, "run_feed", lambda p, *a, **k: original(p.withColumn("Text", broken("Text")), *a, **k)
+            S.reports, "run_feed_table", lambda p, *a, **k: original(p.withColumn("Text", broken("Text")), *a, **k)
         )
     else:
         name = {"languages": "run_language_distribution", "words": "run_top_words"}[report]
@@ -423,7 +425,7 @@ def test_a_failed_query_is_raised(spark, posts, tmp_path, report, monkeypatch):
             S.reports, name, lambda p, *a, **k: original(p.withColumn(column, broken("Text")), *a, **k)
         )
     incoming = pl.read_posts(spark, path, "parquet", pl.POST, stream=True)
-    session = pl.PostSession(spark, incoming, "that", state_partitions=2)
+    session = pl.PostSession(spark, incoming, "that", state_partitions=2, readers="each")
     session.start()
     with pytest.raises(Exception, match="division|ZeroDivision"):
         session.await_termination()
@@ -435,7 +437,9 @@ def test_a_failed_query_is_raised(spark, posts, tmp_path, report, monkeypatch):
 
 def test_landed_files_are_bounded_and_a_removed_run_leaves_nothing(spark, source, tmp_path):
     spark_files = lambda run: list(Path(run.removeprefix("file:")).glob("landing/*.parquet"))
-    session = pl.PostSession(spark, stream(spark, source), "that with, dans", files_per_batch=1)
+    session = pl.PostSession(
+        spark, stream(spark, source), "that with, dans", files_per_batch=1, readers="each"
+    )
     session.start(once=True)
     session.await_termination()
     run_dir = session.run_dir
@@ -446,8 +450,9 @@ def test_landed_files_are_bounded_and_a_removed_run_leaves_nothing(spark, source
     assert not Path(run_dir.removeprefix("file:")).exists()
 
 
-def test_session_without_matches_is_empty(spark, source):
-    session = pl.PostSession(spark, stream(spark, source), "nosuchword")
+@pytest.mark.parametrize("readers", ["one", "each"])
+def test_session_without_matches_is_empty(spark, source, readers):
+    session = pl.PostSession(spark, stream(spark, source), "nosuchword", readers=readers)
     session.start(once=True)
     session.await_termination()
     session.stop()
