@@ -245,9 +245,13 @@ def warc_id(path: str, position: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{position}')}>"
 
 
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+
+
 def split_http(body: bytes) -> tuple[bytes, bytes]:
-    head, mark, payload = body.partition(b"\r\n\r\n")
-    return (head + mark, payload) if mark else (body, b"")
+    """Head and payload, cut after the first blank line; old servers end lines with LF alone."""
+    blank = _BLANK_LINE.search(body)
+    return (body[: blank.end()], body[blank.end() :]) if blank else (body, b"")
 
 
 def http_key(head: bytes) -> int | None:

@@ -8,8 +8,8 @@ backwards once per shard, its occurrences are located by sampled suffix position
 overlapping ones are merged to spans.
 
 Scale: documents are neither shuffled nor joined. The benchmark is the query set: it is
-sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
-documents per block, so no broadcast grows with it.
+sent to the tasks in blocks of about ``BLOCK_BYTES`` of text, one pass over the documents
+per block, and a block is given up before the next is sent.
 
 Defined cases: a NULL or empty text has no words and no hits, a NULL or empty item no
 windows. Rows with the same ``item_id`` are one item; a NULL one is the item ``null``. A
@@ -21,6 +21,7 @@ passes on all columns; columns that it adds on the way have names of their own.
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlark.llm.common import byte_table, concat_range, dictionary_words, slices, stored
+from postlark.llm.common import byte_table, concat_range, dictionary_words, slices, stored, unused
 from postlark.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -165,24 +166,22 @@ def _hits(texts: pa.Array, phrases: Phrases) -> list[dict]:
     return out
 
 
-def _merged(old: dict, new: dict) -> dict:
-    """The hits of two blocks of the benchmark in one document."""
-    if not new["starts"] or not old["starts"]:
-        return old if old["starts"] else new
-    hit = np.zeros(old["words"], bool)
-    for hits in (old, new):
+def _merged(found: list[dict]) -> dict:
+    """The hits of several blocks of the benchmark in one document."""
+    hit = np.zeros(found[0]["words"], bool)
+    for hits in found:
         for start, stop in zip(hits["starts"], hits["stops"]):
             hit[start:stop] = True
     starts, stops = _spans(hit)
-    items = sorted({*old["items"], *new["items"]})
-    return {"words": old["words"], "starts": starts.tolist(), "stops": stops.tolist(), "items": items}
+    items = sorted({item for hits in found for item in hits["items"]})
+    return {"words": len(hit), "starts": starts.tolist(), "stops": stops.tolist(), "items": items}
 
 
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[Phrases]:
-    """The benchmark in blocks of about ``BLOCK_BYTES`` of text, read one at a time."""
+    """The benchmark in blocks of about ``BLOCK_BYTES`` of text, read one at a time; an item
+    longer than that makes a longer block."""
     rows = benchmark.select(F.col("item_id"), F.col("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = -(-size // BLOCK_BYTES)
+    blocks = _block_count(benchmark)
     if blocks <= 1:
         yield Phrases.of([tuple(row) for row in rows.collect()])
         return
@@ -191,27 +190,56 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[Phrases]:
         yield Phrases.of([tuple(row) for row in rows.where(number == block).collect()])
 
 
-def _with_hits(documents: DataFrame, benchmark: DataFrame, column: str) -> DataFrame:
-    """The documents and a column of their hits; one pass per block of the benchmark."""
+def _block_count(benchmark: DataFrame) -> int:
+    return -(-(benchmark.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // BLOCK_BYTES)
+
+
+def _searched(documents: DataFrame, phrases, column: str, every: bool = True) -> DataFrame:
+    """The documents, or only those with hits, and a column of their hits; ``phrases`` is
+    a broadcast."""
     schema = T.StructType([*documents.schema.fields, T.StructField(column, _HITS)])
     place = documents.columns.index("text")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, place):
+                hits = _hits(piece.column(place), phrases.value)
+                columns = [*piece.columns, pa.array(hits, _HITS_ARROW)]
+                found = pa.RecordBatch.from_arrays(columns, [*piece.schema.names, column])
+                if not every:
+                    found = found.filter(pa.array([bool(one["starts"]) for one in hits], pa.bool_()))
+                yield found
+
+    return documents.mapInArrow(search, schema)
+
+
+def _with_hits(documents: DataFrame, benchmark: DataFrame, column: str) -> DataFrame:
+    """The documents and a column of their hits; one pass per block of the benchmark.
+
+    With several blocks each pass stores its hits before the next, so that no more than
+    one block is held by the executors at a time; hits are put together by row at the end.
+    """
     context = documents.sparkSession.sparkContext
-    for number, phrases in enumerate(benchmark_blocks(benchmark)):
+    if _block_count(benchmark) <= 1:
+        (phrases,) = benchmark_blocks(benchmark)
+        return _searched(documents, context.broadcast(phrases), column)
+    key = unused("row", documents.columns)
+    kept = stored(documents.withColumn(key, F.monotonically_increasing_id()), "documents")
+    parts = []
+    for phrases in benchmark_blocks(benchmark):
         sent = context.broadcast(phrases)
+        # The first pass counts the words of every document.
+        found = _searched(kept.select(key, "text"), sent, column, every=not parts)
+        parts.append(stored(found.select(key, column), "hits"))
+        sent.destroy()
+    hits = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.collect_list(column).alias(column))
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, again=number > 0):
-            for batch in batches:
-                for piece in slices(batch, place):
-                    hits = _hits(piece.column(place), sent.value)
-                    columns, names = piece.columns, piece.schema.names
-                    if again:
-                        hits = [_merged(*both) for both in zip(columns[-1].to_pylist(), hits)]
-                        columns, names = columns[:-1], names[:-1]
-                    columns = [*columns, pa.array(hits, _HITS_ARROW)]
-                    yield pa.RecordBatch.from_arrays(columns, [*names, column])
+    @F.arrow_udf(_HITS)
+    def merge(lists: pa.Array) -> pa.Array:
+        return pa.array([_merged(one) for one in lists.to_pylist()], _HITS_ARROW)
 
-        documents = documents.mapInArrow(search, schema)
-    return documents
+    joined = kept.join(hits, key)
+    return joined.select(*documents.columns, merge(column).alias(column))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -251,22 +279,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document that loses all its words is dropped; ``n_chars``, if there is such a
     column, is counted anew where a text was cut.
     """
-    blocks = 0
-    for phrases in benchmark_blocks(benchmark):
-        documents = _cut_out(documents, phrases)
-        blocks += 1
-    while blocks > 1:  # a cut for one block may have made a window of another
-        documents = stored(documents, "decontaminated")
-        left = contamination(documents, benchmark).where(F.col("n_hit") > 0)
-        if left.isEmpty():
-            break
+    context = documents.sparkSession.sparkContext
+    if _block_count(benchmark) <= 1:
+        (phrases,) = benchmark_blocks(benchmark)
+        return _cut_out(documents, context.broadcast(phrases))
+    while True:  # a cut for one block may make a window of another
         for phrases in benchmark_blocks(benchmark):
-            documents = _cut_out(documents, phrases)
-    return documents
+            sent = context.broadcast(phrases)
+            documents = stored(_cut_out(documents, sent), "decontaminated")
+            sent.destroy()
+        if contamination(documents, benchmark).where(F.col("n_hit") > 0).isEmpty():
+            return documents
 
 
-def _cut_out(documents: DataFrame, phrases: Phrases) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(phrases)
+def _cut_out(documents: DataFrame, phrases) -> DataFrame:
     names = documents.columns
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -277,7 +303,7 @@ def _cut_out(documents: DataFrame, phrases: Phrases) -> DataFrame:
                 rows = list(range(len(texts)))
                 while rows:
                     now = pa.array([changed[i] for i in rows], pa.string()) if changed else texts
-                    hits = _hits(now, sent.value)
+                    hits = _hits(now, phrases.value)
                     hit = [(i, one) for i, one in zip(rows, hits) if one["starts"]]
                     for i, one in hit:
                         changed[i] = cut(changed[i] if i in changed else texts[i].as_py(), one)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlark.llm.common import stored, word_count
+from postlark.llm.common import stored, unused, word_count
 
 # Weights by the source's place, and how often all words are used.
 WEIGHTS = (5, 2, 1)
@@ -164,13 +164,15 @@ def mix(documents: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, all columns kept."""
+    own = documents.columns
+    limits_name, copy_name = unused("_mix_limits", own), unused("_mix_copy", own)
     limits = thresholds(stored(sized(documents), "mix-sizes")).select(
-        F.struct(F.col("source").alias("of"), "base", "threshold").alias("_mix_limits")
+        F.struct(F.col("source").alias("of"), "base", "threshold").alias(limits_name)
     )
-    same = documents["source"].eqNullSafe(F.col("_mix_limits.of"))
+    same = documents["source"].eqNullSafe(F.col(f"{limits_name}.of"))
     joined = documents.join(limits, same)
-    copies = F.col("_mix_limits.base") + F.when(
-        document_hash(documents["doc_id"], documents["text"]) < F.col("_mix_limits.threshold"), 1
+    copies = F.col(f"{limits_name}.base") + F.when(
+        document_hash(documents["doc_id"], documents["text"]) < F.col(f"{limits_name}.threshold"), 1
     ).otherwise(0)
-    repeated = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-    return repeated.select(*[documents[name] for name in documents.columns])
+    repeated = joined.withColumn(copy_name, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return repeated.select(*[documents[name] for name in own])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlark.llm.common import LOWER_WORDS, concat_range, dictionary_words, mix64, slices, stored
+from postlark.llm.common import LOWER_WORDS, concat_range, dictionary_words, mix64, slices, stored, unused
 from postlark.llm.components import components
 
 SHINGLE = 5
@@ -54,10 +54,11 @@ _TERMS = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)
 _SALTS = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_SIGNATURES = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
+_SIGNATURES = "doc_id long, row long, n_shingles long, node binary, bands array<long>, sketch array<long>"
 _SIGNATURES_ARROW = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("row", pa.int64()),
         ("n_shingles", pa.int64()),
         ("node", pa.binary()),
         ("bands", pa.list_(pa.int64())),
@@ -120,8 +121,21 @@ def node_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """``doc_id, row, text``; ``row`` is a hash of the id and the text. Ids may repeat, so rows
+    with one id and different texts are told apart by it."""
+    doc_id = F.col("doc_id").cast("long")
+    return documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row"), "text")
+
+
+def _texts(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``row, text``: each text that some rows ask for, once, however often it is repeated."""
+    asked = _rows(documents).select("row", "text").join(rows.distinct(), "row", "left_semi")
+    return stored(asked.groupBy("row").agg(F.first("text").alias("text")), "texts")
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, sketch``; ``node`` names the set of shingles."""
+    """``doc_id, row, n_shingles, node, bands, sketch``; ``node`` names the set of shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +150,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                     nodes.append(node_of(shingles))
                     bands.append(band_keys(samples))
                     sketches.append(odd_sketch(samples))
-                columns = [piece.column("doc_id"), sizes, nodes, bands, sketches]
+                columns = [piece.column("doc_id"), piece.column("row"), sizes, nodes, bands, sketches]
                 yield pa.RecordBatch.from_arrays(
                     [
                         column if isinstance(column, pa.Array) else pa.array(column, field.type)
@@ -145,7 +159,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                     schema=_SIGNATURES_ARROW,
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, _SIGNATURES)
+    return _rows(documents).mapInArrow(sign, _SIGNATURES)
 
 
 def close_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -163,14 +177,15 @@ def close_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of nodes that are similar enough, on the sets of their texts.
 
-    ``first`` has the document that stands for a node. Texts travel, as they are smaller
+    ``first`` has the row that stands for a node. Texts travel, as they are smaller
     than the hashes of their shingles.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = pairs.join(first.toDF("b", "doc_b"), "b").join(first.toDF("a", "doc_a"), "a")
+    named = pairs.join(first.toDF("b", "row_b"), "b").join(first.toDF("a", "row_a"), "a")
     named = stored(named, "pairs")
-    with_b = named.join(texts.toDF("doc_b", "text_b"), "doc_b").select("a", "b", "doc_a", "text_b")
-    with_both = with_b.join(texts.toDF("doc_a", "text_a"), "doc_a").select("a", "b", "text_a", "text_b")
+    asked = named.select(F.col("row_a").alias("row")).union(named.select("row_b"))
+    texts = _texts(documents, asked)
+    with_b = named.join(texts.toDF("row_b", "text_b"), "row_b").select("a", "b", "row_a", "text_b")
+    with_both = with_b.join(texts.toDF("row_a", "text_a"), "row_a").select("a", "b", "text_a", "text_b")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +197,7 @@ def linked(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> DataFram
                     keep = []
                     names = zip(piece.column("a").to_pylist(), piece.column("b").to_pylist())
                     for one, other, named in zip(sets_a, sets_b, names):
-                        if (node_of(one), node_of(other)) != named:  # another row of that id
+                        if (node_of(one), node_of(other)) != named:  # two rows of one hash
                             keep.append(False)
                             continue
                         keep.append(_alike(one, other))
@@ -234,7 +249,7 @@ def forest(sets: list[np.ndarray], sketch: np.ndarray, root: np.ndarray, side: n
 def across(members: DataFrame, documents: DataFrame) -> DataFrame:
     """Links ``a, b`` between components that meet in a bucket.
 
-    ``members``: ``key, node, root, sketch, n_shingles, doc_id``. Buckets with the same
+    ``members``: ``key, node, root, sketch, n_shingles, row``. Buckets with the same
     members are looked at once. A bucket is split to blocks of bounded size, and every
     two blocks meet in a task.
     """
@@ -258,21 +273,21 @@ def across(members: DataFrame, documents: DataFrame) -> DataFrame:
     own = F.pmod(name, blocks).cast("int")
     spread = stored(
         mixed.select(
-            "key", "node", "root", "sketch", "doc_id", own.alias("own"),
+            "key", "node", "root", "sketch", "row", own.alias("own"),
             F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
         ).select(
             "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-            "own", "node", "root", "sketch", "doc_id",
+            "own", "node", "root", "sketch", "row",
         ),
         "blocks",
     )
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _texts(documents, spread.select("row"))
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         sets = list(shingle_sets(pa.array(frame["text"], pa.string())))
         same = [node_of(one) == node for one, node in zip(sets, frame["node"])]
-        rows = np.flatnonzero(same)  # not another row of that id
+        rows = np.flatnonzero(same)  # not another row of that hash
         rows = rows[np.unique(frame["node"].to_numpy()[rows], return_index=True)[1]] if len(rows) else rows
         frame, sets = frame.iloc[rows], [sets[i] for i in rows]
         nodes, out = frame["node"].tolist(), []
@@ -283,7 +298,7 @@ def across(members: DataFrame, documents: DataFrame) -> DataFrame:
             out = [(nodes[i], nodes[j]) for i, j in found]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return spread.join(texts, "doc_id").groupBy("key", "one", "two").applyInPandas(link, schema)
+    return spread.join(texts, "row").groupBy("key", "one", "two").applyInPandas(link, schema)
 
 
 def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -291,12 +306,13 @@ def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = stored(signatures(documents), "signatures")
     named = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(
-        named.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("one")).select(
+        named.groupBy("node").agg(F.min(F.struct("doc_id", "row", "n_shingles", "bands", "sketch")).alias("one")).select(
             "node", "one.*"
         ),
         "classes",
     )
     first = classes.select("node", "doc_id")
+    stand = classes.select("node", "row")
     sketches = classes.select("node", "sketch")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = (
@@ -310,14 +326,14 @@ def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .select(F.col("least").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = stored(linked(close_sketches(pairs, sketches), documents, first), "links")
+    links = stored(linked(close_sketches(pairs, sketches), documents, stand), "links")
     roots = components(links)
 
     # Buckets whose classes are still apart.
     apart = (
         members.join(roots, "node", "left")
         .select("key", "node", F.coalesce("root", "node").alias("root"))
-        .join(classes.select("node", "sketch", "n_shingles", "doc_id"), "node")
+        .join(classes.select("node", "sketch", "n_shingles", "row"), "node")
     )
     more = stored(across(apart, documents), "links")
     if not more.isEmpty():
@@ -356,24 +372,24 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
     id and text one stays. Texts without shingles all stay.
     """
     doc_id = F.col("doc_id").cast("long")
-    key = F.xxhash64(doc_id, F.col("text"))
+    key, name = F.xxhash64(doc_id, F.col("text")), unused("_key", documents.columns)
     signed, _, roots = _joined(documents.select(key.alias("doc_id"), "text"))
     rows = signed.where(F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.count("*").alias("n"))
     rows = stored(rows.join(roots, "node", "left").select(
-        F.col("doc_id").alias("_key"), F.coalesce("root", "node").alias("root"), "n"
+        F.col("doc_id").alias(name), F.coalesce("root", "node").alias("root"), "n"
     ), "near-rows")
-    ids = documents.select(key.alias("_key"), doc_id.alias("id")).distinct()
-    order = F.struct(F.col("id").isNull(), "id", "_key", "n")
-    best = rows.join(ids, "_key").groupBy("root").agg(F.min(order).alias("best"))
-    best = stored(best.select("best._key", "best.n"), "near-best")
-    gone = stored(rows.select("_key").join(best, "_key", "left_anti"), "near-duplicates")
-    again = best.where("n > 1").select("_key")
-    left = documents.withColumn("_key", key).join(gone, "_key", "left_anti")
-    once = left.join(again, "_key", "left_anti").select(documents.columns)
+    ids = documents.select(key.alias(name), doc_id.alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), "id", name, "n")
+    best = rows.join(ids, name).groupBy("root").agg(F.min(order).alias("best"))
+    best = stored(best.select(f"best.{name}", "best.n"), "near-best")
+    gone = stored(rows.select(name).join(best, name, "left_anti"), "near-duplicates")
+    again = best.where("n > 1").select(name)
+    left = documents.withColumn(name, key).join(gone, name, "left_anti")
+    once = left.join(again, name, "left_anti").select(documents.columns)
     if again.isEmpty():
         return once
-    columns = [F.col(name) for name in documents.columns]
-    one = left.join(again, "_key", "left_semi").groupBy("_key").agg(
+    columns = [F.col(column) for column in documents.columns]
+    one = left.join(again, name, "left_semi").groupBy(name).agg(
         F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("one")
     )
     return once.unionByName(one.select("one.*"))

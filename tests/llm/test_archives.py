@@ -94,3 +94,13 @@ def test_small_payloads_may_stay_responses(spark, tmp_path):
 
 def test_no_pages(spark, tmp_path):
     assert round_trip(spark, tmp_path, []) == []
+
+
+def test_heads_of_bare_line_feeds():
+    from postlark.llm.archives import split_http
+
+    for end in (b"\r\n", b"\n"):
+        head = b"HTTP/1.0 200 OK" + end + b"Content-Type: text/html" + end + end
+        assert split_http(head + b"body\n\nand\r\n\r\nmore") == (head, b"body\n\nand\r\n\r\nmore")
+        assert split_http(head) == (head, b"")
+    assert split_http(b"HTTP/1.0 200 OK\nno end") == (b"HTTP/1.0 200 OK\nno end", b"")

@@ -73,3 +73,58 @@ def test_no_rows_and_wrong_rule(spark):
     assert A.section_tokens(frame, BYTE_BPE).collect() == []
     with pytest.raises(ValueError):
         A.section_tokens(frame, BYTE_BPE, "nearest")
+
+
+def spans_of(text):
+    """Character spans of the tokens of a text, by the library alone."""
+    encoding, _ = A.byte_encoding(BYTE_BPE)
+    owner = [k for k, c in enumerate(text) for _ in c.encode()]
+    spans, at = [], 0
+    for piece in encoding.decode_tokens_bytes(encoding.encode_ordinary(text)):
+        spans.append((owner[at], owner[at + len(piece) - 1] + 1))
+        at += len(piece)
+    return spans
+
+
+@pytest.mark.parametrize("rule", A.RULES)
+def test_given_spans(spark, rule):
+    """Out of order, with gaps, overlapping, empty, outside the text, NULL."""
+    text = "Überall ist hier ein Text, und dann 日本語 noch einer.\nEnde"
+    told = [(12, 30), (0, 9), (8, 15), (40, 40), (50, 900), (None, 3), (-5, 2)]
+    rows = [(1, text, told), (2, text, None), (3, text, []), (4, None, [(0, 5)]), (1, text, told), (None, text, told)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:int,stop:int>>")
+    found = A.section_tokens(frame, BYTE_BPE, rule, sections="parts").collect()
+    assert {r.doc_id for r in found} == {1, 4, None}
+    assert [tuple(r)[1:] for r in found if r.doc_id == 4] == [(0, 0, 0, 0.0)]
+    once = sorted(tuple(r)[1:] for r in found if r.doc_id is None)
+    assert sorted(tuple(r)[1:] for r in found if r.doc_id == 1) == sorted(once * 2)
+    assert [section for section, *_ in once] == list(range(len(told)))
+    shown = {section: (start, stop) for section, start, stop, _ in once}
+    assert shown[1] == (3, 9) and shown[2] == (9, 15) and shown[0] == (15, 30) and shown[5] == (2, 3)
+    in_order = sorted((s for s in shown if shown[s][1] > shown[s][0]), key=shown.get)
+    want = dict(zip(in_order, plain(spans_of(text), [shown[s] for s in in_order], rule)))
+    assert np.allclose([n for *_, n in once], [want.get(section, 0) for section, *_ in once])
+
+
+def test_fields(spark):
+    rows = [(1, "A title", None, "The body\nof it"), (2, "", "x", ""), (3, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, title string, note string, body string")
+    found = A.section_tokens(frame, BYTE_BPE, "first", fields=["title", "note", "body"], separator=" | ").collect()
+    encoding, _ = A.byte_encoding(BYTE_BPE)
+    for doc_id, *fields in rows:
+        own = sorted((r for r in found if r.doc_id == doc_id), key=lambda r: r.section)
+        text = " | ".join(field or "" for field in fields)
+        assert [text[r.start : r.stop] for r in own] == [
+            *[(field or "") + " | " for field in fields[:-1]], fields[-1] or ""
+        ]
+        spans = [(r.start, r.stop) for r in own]
+        assert [r.n_tokens for r in own] == plain(spans_of(text), spans, "first")
+        assert sum(r.n_tokens for r in own) == len(encoding.encode_ordinary(text))
+    with pytest.raises(ValueError):
+        A.section_tokens(frame, BYTE_BPE, fields=["title"], sections="note")
+
+
+def test_repeated_rows_and_null_ids(spark):
+    frame = spark.createDataFrame([(None, "a b\nc"), (None, "a b\nc"), (1, "x"), (1, "x")], "doc_id long, text string")
+    got = sorted(map(str, A.section_tokens(frame, BYTE_BPE).collect()))
+    assert len(got) == 6 and all(got.count(row) == 2 for row in got)

@@ -80,6 +80,36 @@ def test_a_benchmark_of_several_blocks_gives_the_same(spark, monkeypatch):
     assert all(expected(row.text, ITEMS)[1] == 0 for row in kept)
 
 
+def test_repeated_documents_and_null_ids(spark, monkeypatch):
+    rows = [(None, LONG, "a"), (None, LONG, "b"), (2, "alpha beta", "c"), (2, "alpha beta", "c"), (2, None, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    for size in (D.BLOCK_BYTES, 40):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        got = D.contamination(frame, items(spark)).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == [
+            ("2", 0, 0), ("2", 2, 2), ("2", 2, 2), ("None", 30, 30), ("None", 30, 30)
+        ]
+
+
+def test_blocks_of_the_benchmark_are_given_up_one_by_one(spark, monkeypatch):
+    """No pass holds the phrases of another: each broadcast is destroyed after its pass."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 40)
+    context, alive, most = spark.sparkContext, [], []
+    original = context.broadcast
+
+    def broadcast(value):
+        sent = original(value)
+        destroy = sent.destroy
+        alive.append(sent)
+        most.append(len(alive))
+        sent.destroy = lambda: (alive.remove(sent), destroy())
+        return sent
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    check(spark)
+    assert len(most) > 2 and max(most) == 1 and not alive
+
+
 def test_removal(spark):
     split = " ".join(f"w{i}" for i in range(5)) + f" {LONG} " + " ".join(f"w{i}" for i in range(5, 12))
     frame = documents(spark, [*TEXTS, split])

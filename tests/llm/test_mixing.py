@@ -85,3 +85,11 @@ def test_few_rows(spark, rows):
     if rows and rows[0][2]:
         assert got == [(1, 3, 3, 4.5, 3)]  # both ways end equally near: left out
     assert M.mixed_documents(frame(spark, rows)).columns == ["doc_id", "source", "text", "size"]
+
+
+def test_a_users_columns_of_our_names_are_kept(spark):
+    rows = [(i, f"w{i} " * (i % 7), f"s{i % 3}", i, -i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_copy int, _MIX_LIMITS int")
+    got = M.mixed_documents(frame)
+    assert got.columns == frame.columns
+    assert {tuple(row) for row in got.collect()} <= set(rows)

@@ -114,3 +114,30 @@ def test_removal_follows_the_kept_flags(spark):
     want = {d for d, _, _, keep in expected(rows) if keep and ids.count(d) == 1}
     kept = {r.doc_id for r in N.without_near_duplicates(frame).collect()}
     assert kept - {3, None, rows[7][0]} == want - {3, None, rows[7][0]}
+
+
+def test_many_near_copies_under_one_id(spark):
+    """Rows are told apart by id and text, so 2,000 copies of one id make no 2,000 squared."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"x{i}"
+        rows.append((5, " ".join(copy)))
+    rows += [(5, " ".join(base))] * 300 + [(9, " ".join(f"c{i}" for i in range(40)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = N.near_duplicates(frame).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 5, True), (9, 9, True)}
+    asked = spark.createDataFrame([(5, " ".join(base))] * 2, "doc_id long, text string")
+    wanted = N._rows(asked).select("row")
+    assert N._texts(frame, wanted).count() == 1  # 300 repeated rows are one text
+
+
+def test_a_users_key_column_is_kept(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "u1"), (2, text, "u2"), (3, "other words", "u3"), (1, text, "u1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _KEY string")
+    got = N.without_near_duplicates(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id, r._KEY) for r in got.collect()) == [(1, "u1"), (3, "u3")]

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import os
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from postlark.llm import decontaminate
+from postlark.llm.common import scratch, stored
 from postlark.llm.queries import WORD_BPE
 from tests.llm.test_decontaminate import expected as hits
 from tests.llm.test_near_dup import expected as duplicates
@@ -75,5 +77,42 @@ def test_stages(spark):
 
 
 def test_run_equals_the_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF_DIR), "test-stage")
     got = corpus_pipeline.run(spark, SF_DIR)
-    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _key int, stats int, hits int, row int"
+
+
+def odd_documents(spark, rows):
+    return spark.createDataFrame([(*row, len(row[1] or ""), 1, 2, 3, 4) for row in rows], ODD_COLUMNS)
+
+
+def test_odd_rows_empty_tables_and_clashing_columns(spark):
+    good = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("n_chars > 300").limit(5)
+    texts = [row.text for row in good.collect()]
+    rows = [(i, text, "en", "s") for i, text in enumerate(texts)]
+    rows += [(None, texts[0], None, None), (3, None, None, "s"), (4, "", "en", None), rows[2], rows[2]]
+    rows += [(77, "long words of one text " * 26_000, "en", "s")]
+    docs = odd_documents(spark, rows)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF_DIR)
+        if number < 4:
+            assert out.columns == docs.columns
+        docs = stored(out, "odd-stage")
+    assert docs.count() > 0
+    docs = odd_documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF_DIR), "empty-stage")
+    assert docs.count() == 0
+
+
+def test_scratch_tables_are_removed(spark):
+    with scratch(spark) as folder:
+        assert corpus_pipeline.run(spark, SF_DIR).count() > 50
+        assert os.path.exists(folder)
+    assert not os.path.exists(folder)

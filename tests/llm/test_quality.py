@@ -59,3 +59,62 @@ def test_edge_cases(spark):
     assert Q.quality_scores(frame.where("false"), labels).collect() == []
     kept = Q.good_documents(frame, labels)
     assert kept.schema == frame.schema and kept.count() <= 7
+
+
+def test_scores_equal_plain_normal_equations(spark):
+    """The whole model again in plain numpy: features, ridge, calibration, scores."""
+    import pyarrow as pa
+
+    sf_dir = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+    stats = {doc_id: Q.statistics(pa.array([text]))[0] for doc_id, text in rows}
+    known = [
+        (r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in stats
+    ]
+    x = np.array([stats[doc_id] for doc_id, _ in known])
+    y = np.array([float(quality) for _, quality in known])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 1e-9, scale, 1)
+    rng = np.random.default_rng(9)
+    directions = rng.normal(size=(Q.STATISTICS, Q.FEATURES)) / Q.WIDTH
+    phases = rng.uniform(0, 2 * np.pi, Q.FEATURES)
+
+    def features(values):
+        waves = np.sqrt(2 / Q.FEATURES) * np.cos((values - mean) / scale @ directions + phases)
+        return np.concatenate([waves, np.ones((len(values), 1))], axis=1)
+
+    damp = np.eye(Q.FEATURES + 1) * Q.RIDGE
+    damp[-1, -1] = 1e-9
+    z = features(x)
+    weights = np.linalg.solve(z.T @ z + damp, z.T @ y)
+    bins = np.round((np.clip(z @ weights, Q.LOWEST, Q.HIGHEST) - Q.LOWEST) * Q.BINS)
+    places = np.unique(bins)
+    # The best rising fit: at each place the largest of the least means around it.
+    means = [(y[bins == b].sum(), (bins == b).sum()) for b in places]
+    sums = np.cumsum([[0, 0], *means], axis=0)
+    rising = [
+        max(min((sums[j] - sums[i])[0] / (sums[j] - sums[i])[1] for j in range(k + 1, len(places) + 1)) for i in range(k + 1))
+        for k in range(len(places))
+    ]
+    pools, at = np.unique(np.round(rising, 12), return_inverse=True)
+    weight = np.array([n for _, n in means])
+    centre = [np.average(places[at == i] / Q.BINS + Q.LOWEST, weights=weight[at == i]) for i in range(len(pools))]
+    got = {r.doc_id: r.score for r in Q.quality_scores(documents, labels).collect()}
+    for doc_id, values in stats.items():
+        raw = (features(values[None]) @ weights)[0]
+        assert got[doc_id] == pytest.approx(np.interp(raw, centre, pools), abs=1e-6)
+
+
+def test_good_documents_are_those_scored_good(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("n_chars", "STATS")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r.doc_id for r in Q.quality_scores(documents, labels).where("predicted = 1").collect()}
+    kept = Q.good_documents(documents, labels)
+    assert kept.columns == documents.columns
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == good and len(rows) == len(good)
+    texts = {r.doc_id: tuple(r) for r in documents.collect()}
+    assert all(tuple(r) == texts[r.doc_id] for r in rows)
