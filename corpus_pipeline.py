@@ -10,8 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from postlark.llm import decontaminate, mixing, near_dup, quality, token_files
-from postlark.llm.common import stored, table
-from postlark.streaming.runs import new_run
+from postlark.llm.common import new_folder, stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the texts as token files, and say per document what the files hold."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    manifest = token_files.write_tokens(docs, new_run(spark, "pipeline-tokens"), tokenizer)
+    manifest = token_files.write_tokens(docs, new_folder(spark, "pipeline-tokens"), tokenizer)
     return token_files.read_tokens(manifest)
 
 
