@@ -1,5 +1,7 @@
 """Read posts from files or a message payload, and name them for SQL."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,7 +22,7 @@ def scan_posts(
     A line that is no record, or whose values do not have the types of the schema, is in
     ``_rejected`` as it stands; ``readable_posts`` and ``rejected_lines`` split the scan.
     Every line is always read whole, so that what is rejected does not depend on the
-    columns a report selects. Blank lines are no rows.
+    columns a report selects. Blank lines are no rows; columns that folders name stay.
     """
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.readStream if stream else spark.read
@@ -30,12 +32,14 @@ def scan_posts(
                   "pathGlobFilter", "recursiveFileLookup", "modifiedAfter", "modifiedBefore",
                   "fileNameOnly", "cleanSource", "sourceArchiveDir", "wholetext"}
         of_source = {name: value for name, value in options.items() if name in source}
-        of_record = {name: value for name, value in options.items() if name not in source}
+        # What is read here is kept or set apart line by line, so a mode means nothing.
+        of_record = {name: value for name, value in options.items() if name not in source and name != "mode"}
         lines = reader.options(**of_source).text(path).where(F.trim("value") != "")
-        decoded = _decoded(lines, "value", schema, of_record)
+        folders = [name for name in lines.columns if name not in ("value", *schema.names)]
+        decoded = _decoded(lines, "value", schema, of_record, folders)
         bad = _unread(decoded)
         posts = [F.when(~bad, F.col(f"post.{field.name}")).alias(field.name) for field in schema.fields]
-        return decoded.select(*posts, F.when(bad, F.col("payload")).alias(REJECTED))
+        return decoded.select(*posts, *folders, F.when(bad, F.col("payload")).alias(REJECTED))
     wanted = StructType([*schema.fields, StructField(REJECTED, StringType())])
     rows = (
         reader.format(format)
@@ -45,7 +49,7 @@ def scan_posts(
     )
     # Always true, but it names every column: these readers look at no others.
     every = F.length(F.concat_ws("", *[F.col(name).cast("string") for name in schema.names])) >= 0
-    return rows.select(*schema.names, F.when(every, F.col(REJECTED)).alias(REJECTED))
+    return rows.withColumn(REJECTED, F.when(every, F.col(REJECTED)))
 
 
 def readable_posts(scan: DataFrame) -> DataFrame:
@@ -79,12 +83,12 @@ def read_posts(
 
 
 def _decoded(
-    messages: DataFrame, payload: str, schema: StructType, options: dict | None = None
+    messages: DataFrame, payload: str, schema: StructType, options: dict | None = None, others: Sequence[str] = ()
 ) -> DataFrame:
     text = F.col(payload).cast("string")
     wanted = StructType([*schema.fields, StructField(REJECTED, StringType())])
     post = F.from_json(text, wanted, {**(options or {}), "columnNameOfCorruptRecord": REJECTED})
-    return messages.select(text.alias("payload"), post.alias("post"))
+    return messages.select(text.alias("payload"), post.alias("post"), *others)
 
 
 def _unread(decoded: DataFrame) -> Column:

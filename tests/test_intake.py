@@ -78,6 +78,15 @@ def test_multi_line_json_and_options(spark, tmp_path):
     assert rows(pl.rejected_lines(strict)) == [("{'text': 'single'}",)]
 
 
+def test_columns_of_folders_stay(spark, tmp_path):
+    for day, line in (("1", '{"text": "a"}'), ("2", "broken")):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "x.json").write_text(line + "\n")
+    scan = pl.scan_posts(spark, str(tmp_path), mode="DROPMALFORMED")
+    assert rows(pl.readable_posts(scan).select("text", "day")) == [("a", 1)]
+    assert rows(scan.select("day", "_rejected").where("day = 2")) == [(2, "broken")]
+
+
 # --- long keyword lists ---
 
 
