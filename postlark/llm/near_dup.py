@@ -129,8 +129,12 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """``row, text``: each text that some rows ask for, once, however often it is repeated."""
-    asked = _rows(documents).select("row", "text").join(rows.distinct(), "row", "left_semi")
+    """``row, text``: each text that some rows ask for, once, however often it is repeated.
+
+    How many rows ask grows with the documents, so they are never broadcast: the join is by
+    shuffle at every size, and the grouping after it uses its partitions.
+    """
+    asked = _rows(documents).select("row", "text").join(rows.distinct().hint("merge"), "row", "left_semi")
     return stored(asked.groupBy("row").agg(F.first("text").alias("text")), "texts")
 
 
