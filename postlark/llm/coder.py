@@ -26,6 +26,9 @@ START = 8192
 SPAN_BITS, DIGIT_BITS = 62, 16
 LAST_DIGITS = 4
 
+WRITTEN = 512  # blocks whose digits are joined at once
+
+
 @dataclass
 class Prior:
     """Order 0: the different ids, and their frequencies, which add up to ``2**bits``."""
@@ -158,7 +161,10 @@ def encode_blocks(ids: np.ndarray, prior: Prior, lengths: np.ndarray) -> list[by
         span <<= bits
         model.learn(symbols, hit2, hit1)
         last, before = symbols, last
-    return _written(heads, emitted, low)
+    del grid, model
+    # A few blocks at a time, as joining digits takes several times their memory.
+    parts = (slice(start, start + WRITTEN) for start in range(0, lanes, WRITTEN))
+    return [block for part in parts for block in _written(heads[:, part], emitted[:, part], low[part])]
 
 
 def _digits_out(span: np.ndarray) -> np.ndarray:
@@ -244,5 +250,5 @@ def decode_blocks(blocks: list[bytes], prior: Prior, lengths: np.ndarray) -> np.
         grid[t] = symbols
         model.learn(symbols, hit2, hit1)
         last, before = symbols, last
-    kept = np.arange(steps)[:, None] < lengths
-    return prior.symbols[grid.T[kept.T]]
+    kept = np.arange(steps) < lengths[:, None]
+    return prior.symbols.astype(np.uint32)[grid.T[kept]]

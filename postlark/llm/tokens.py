@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 
 from postlark.llm.common import LOWER_WORDS, byte_table, concat_range, dictionary_words, mix64
 
-# How many words a Python worker remembers, at some 70 bytes each. Words met later are
-# encoded when they occur.
-CACHED_WORDS = 2_000_000
+# How many words a Python worker remembers, at some 70 bytes each, and as much again while
+# words are added. Words met later are encoded when they occur.
+CACHED_WORDS = 1_000_000
 # The library's results are large objects, so few words are given to it at once.
 AT_ONCE = 10_000
 
