@@ -39,6 +39,11 @@ ONCE = {"availableNow": True}
 # costs one step and not the whole run.
 FILES_PER_TRIGGER = 10_000
 
+# A table that is split has so many batches, in files whose row groups are of about this size:
+# a row group is read by one task.
+BATCHES = 5
+ROW_GROUP_BYTES = 8 << 20
+
 # How many parts the state of a running report gets here.
 STATE_PARTITIONS = 8
 
@@ -63,11 +68,17 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def split_stream(spark: SparkSession, sf_dir: str, name: str, run: str) -> DataFrame:
-    """A table as a stream of several batches, as the tables here are one file each."""
+    """A table as a stream of several batches, as the tables here are one file each.
+
+    A batch has as many files as a fifth of the table takes tasks to read, and their row
+    groups are small, so Spark can share a batch between all cores.
+    """
     source = table(spark, sf_dir, name)
-    source.repartition(5).write.parquet(f"{run}/source")
+    files = -(-source.rdd.getNumPartitions() // BATCHES)
+    rows = source.repartition(BATCHES * files).write.option("parquet.block.size", ROW_GROUP_BYTES)
+    rows.parquet(f"{run}/source")
     return pl.read_posts(
-        spark, f"{run}/source", "parquet", source.schema, stream=True, maxFilesPerTrigger=1
+        spark, f"{run}/source", "parquet", source.schema, stream=True, maxFilesPerTrigger=files
     )
 
 
