@@ -26,7 +26,9 @@ START = 8192
 SPAN_BITS, DIGIT_BITS = 62, 16
 LAST_DIGITS = 4
 
-WRITTEN = 512  # blocks whose digits are joined at once
+WRITTEN = 128  # blocks whose digits are joined, or ids looked up, at once
+AT_ONCE = 1 << 18  # ids that are counted or numbered at once
+TABLE = 1 << 20  # ids below this are counted and numbered by a table
 
 
 @dataclass
@@ -39,7 +41,7 @@ class Prior:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> "Prior":
-        symbols, counts = np.unique(ids, return_counts=True)
+        symbols, counts = _counted(ids)
         bits = max(16, int(len(symbols)).bit_length() + 2)
         room = (1 << bits) - len(symbols)
         freqs = counts * room // max(int(counts.sum()), 1) + 1
@@ -51,6 +53,36 @@ class Prior:
         return np.cumsum(self.freqs) - self.freqs
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in ascending order, and how often each occurs."""
+    most = int(ids.max()) + 1 if len(ids) else 0
+    if most > TABLE:
+        return np.unique(ids, return_counts=True)
+    counts = np.zeros(most, np.int64)
+    for start in range(0, len(ids), AT_ONCE):
+        counts += np.bincount(ids[start : start + AT_ONCE], minlength=most)
+    symbols = np.flatnonzero(counts)
+    return symbols, counts[symbols]
+
+
+def _place_type(symbols: np.ndarray) -> type:
+    """A small type that holds each place in ``symbols``."""
+    return np.uint16 if len(symbols) <= 1 << 16 else np.int32
+
+
+def _places(ids: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Where each id stands in ``symbols``."""
+    out = np.empty(len(ids), _place_type(symbols))
+    table = None
+    if len(symbols) and symbols[-1] < TABLE:
+        table = np.zeros(int(symbols[-1]) + 1, out.dtype)
+        table[symbols] = np.arange(len(symbols))
+    for start in range(0, len(ids), AT_ONCE):
+        some = ids[start : start + AT_ONCE]
+        out[start : start + AT_ONCE] = np.searchsorted(symbols, some) if table is None else table[some]
+    return out
+
+
 class _Model:
     """The predictions and confidences of ``lanes`` blocks.
 
@@ -126,14 +158,15 @@ def encode_blocks(ids: np.ndarray, prior: Prior, lengths: np.ndarray) -> list[by
     """Code consecutive runs of ids as blocks; ``lengths`` as of ``block_lengths``."""
     if not len(lengths):
         return []
-    grid = _grid(np.searchsorted(prior.symbols, ids).astype(np.int32), lengths)
+    grid = _grid(_places(ids, prior.symbols), lengths)
     lanes, full = len(lengths), int(lengths[-1])
     shift = prior.bits
     starts, freqs = prior.starts, prior.freqs
     model = _Model(lanes)
     low = np.zeros(lanes, np.int64)
     span = np.full(lanes, (1 << SPAN_BITS) - 1, np.int64)
-    heads = np.empty(grid.shape, np.int64)
+    # The digits, and how many they are plus 4 if the number is above two digits by a carry.
+    heads = np.empty(grid.shape, np.uint32)
     emitted = np.empty(grid.shape, np.int8)
     last = before = np.zeros(lanes, np.int64)
     for t, row in enumerate(grid):
@@ -156,7 +189,7 @@ def encode_blocks(ids: np.ndarray, prior: Prior, lengths: np.ndarray) -> list[by
         bits = count * DIGIT_BITS
         keep = SPAN_BITS - bits
         head = (low >> keep) * (count > 0)
-        heads[t], emitted[t] = head, count
+        heads[t], emitted[t] = head & 0xFFFFFFFF, count + (head >> 32 << 2)
         low = (low - (head << keep)) << bits
         span <<= bits
         model.learn(symbols, hit2, hit1)
@@ -177,9 +210,10 @@ def _written(heads: np.ndarray, emitted: np.ndarray, low: np.ndarray) -> list[by
     """Join the digits of each block and carry what went over into the digits before."""
     steps, lanes = heads.shape
     counts = np.empty((lanes, steps + LAST_DIGITS), np.int8)
-    counts[:, :steps], counts[:, steps:] = emitted.T, 1
+    counts[:, :steps], counts[:, steps:] = (emitted & 3).T, 1
     values = np.empty((lanes, steps + LAST_DIGITS), np.int64)
     values[:, :steps] = heads.T
+    values[:, :steps] += (emitted.T >> 2).astype(np.int64) << 32
     for i in range(LAST_DIGITS):
         left = SPAN_BITS - DIGIT_BITS * (i + 1)
         part = low >> left if left >= 0 else low << -left
@@ -208,12 +242,17 @@ def decode_blocks(blocks: list[bytes], prior: Prior, lengths: np.ndarray) -> np.
     if not len(lengths):
         return np.zeros(0, np.int64)
     lanes, steps = len(lengths), int(lengths.max())
-    flat = np.frombuffer(b"".join(blocks) + b"\0" * 8, "<u2").astype(np.int64)
+    flat = np.frombuffer(b"".join([*blocks, b"\0" * 8]), "<u2")
     sizes = np.array([len(block) // 2 for block in blocks])
     at = np.cumsum(sizes) - sizes
-    code = (flat[at] << 46) | (flat[at + 1] << 30) | (flat[at + 2] << 14) | (flat[at + 3] >> 2)
+    first = [flat[at + i].astype(np.int64) for i in range(LAST_DIGITS)]
+    code = (first[0] << 46) | (first[1] << 30) | (first[2] << 14) | (first[3] >> 2)
     # The window of 62 bits ends two bits before a digit does; so do the 32 that follow.
-    ahead = ((flat[:-2] & 3) << 30) | (flat[1:-1] << 14) | (flat[2:] >> 2)
+    ahead = flat[:-2].astype(np.uint32)
+    ahead <<= 30
+    ahead |= flat[1:-1].astype(np.uint32) << 14
+    ahead |= flat[2:] >> 2
+    del flat
     at, end = at + 3, len(ahead) - 1
     span = np.full(lanes, (1 << SPAN_BITS) - 1, np.int64)
     shift = prior.bits
@@ -221,7 +260,7 @@ def decode_blocks(blocks: list[bytes], prior: Prior, lengths: np.ndarray) -> np.
     lookup = np.repeat(np.arange(len(prior.symbols)), prior.freqs)
     highest, last_place = (HALF << shift) - 1, (1 << shift) - 1
     model = _Model(lanes)
-    grid = np.empty((steps, lanes), np.int32)
+    grid = np.empty((steps, lanes), _place_type(prior.symbols))
     last = before = np.zeros(lanes, np.int64)
     for t in range(steps):
         p1, p2, share2, share1, share0 = model.predict(last, before)
@@ -244,11 +283,18 @@ def decode_blocks(blocks: list[bytes], prior: Prior, lengths: np.ndarray) -> np.
         span = unit * size
         count = _digits_out(span)
         bits = count * DIGIT_BITS
-        code = (code << bits) | (ahead[at] >> (32 - bits))
+        code = (code << bits) | (ahead[at].astype(np.int64) >> (32 - bits))
         span <<= bits
         at = np.minimum(at + count, end)
         grid[t] = symbols
         model.learn(symbols, hit2, hit1)
         last, before = symbols, last
-    kept = np.arange(steps) < lengths[:, None]
-    return prior.symbols.astype(np.uint32)[grid.T[kept]]
+    del ahead, model
+    ids, values = np.empty(int(lengths.sum()), np.uint32), prior.symbols.astype(np.uint32)
+    end = 0
+    for start in range(0, lanes, WRITTEN):
+        some = slice(start, start + WRITTEN)
+        found = values[grid[:, some].T[np.arange(steps) < lengths[some, None]]]
+        ids[end : end + len(found)] = found
+        end += len(found)
+    return ids

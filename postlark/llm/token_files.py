@@ -38,6 +38,8 @@ BLOCK_IDS = 1024
 # Some 4,000 blocks are coded side by side, which keeps the time of a numpy call small per id.
 GROUP_IDS = 1 << 22
 END_ID = 2
+# Text that is encoded at once: splitting it takes some twelve times its size.
+TEXT_BYTES = 2 << 20
 
 _HEAD = struct.Struct("<8sIIqqq")
 
@@ -108,16 +110,21 @@ def read_groups(stream) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int):
-    """Encoded documents, gathered to groups of about ``GROUP_IDS`` ids."""
-    doc_ids, sizes, parts, held = [], [], [], 0
+    """Encoded documents, gathered to groups of about ``GROUP_IDS`` ids.
+
+    The ids of a group are valid until the next one is asked for: all share one array.
+    """
+    doc_ids, sizes, held = [], [], 0
+    group = np.empty(GROUP_IDS, np.uint32)
     for batch in batches:
-        for piece in slices(batch):
+        for piece in slices(batch, size=TEXT_BYTES):
             ids, counts = encoder.encode(piece.column("text"))
             whole = np.full(len(ids) + len(counts), end_id, np.uint32)
             ends = np.cumsum(counts + 1)
             keep = np.ones(len(whole), bool)
             keep[ends - 1] = False
             whole[keep] = ids
+            del ids, keep
             names = piece.column("doc_id").to_pylist()
             start = 0
             while start < len(names):
@@ -125,14 +132,20 @@ def _groups(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int
                 stop = max(start + 1, int(np.searchsorted(ends, base + GROUP_IDS - held, "right")))
                 doc_ids += names[start:stop]
                 sizes.append(counts[start:stop] + 1)
-                parts.append(whole[base : ends[stop - 1]])
-                held += int(ends[stop - 1] - base)
+                more = whole[base : ends[stop - 1]]
+                if held + len(more) > len(group):  # a document larger than a group
+                    group = np.concatenate([group[:held], more])
+                else:
+                    group[held : held + len(more)] = more
+                held += len(more)
                 start = stop
                 if held >= GROUP_IDS or start < len(names):
-                    yield doc_ids, np.concatenate(sizes), np.concatenate(parts)
-                    doc_ids, sizes, parts, held = [], [], [], 0
+                    yield doc_ids, np.concatenate(sizes), group[:held]
+                    doc_ids, sizes, held = [], [], 0
+                    if len(group) > GROUP_IDS:
+                        group = np.empty(GROUP_IDS, np.uint32)
     if doc_ids:
-        yield doc_ids, np.concatenate(sizes), np.concatenate(parts)
+        yield doc_ids, np.concatenate(sizes), group[:held]
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -180,7 +193,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for path, base in rows:
             with open_stream(path) as file:
                 for doc_ids, sizes, ids in read_groups(file):
-                    data = ids.astype("<u4").tobytes()
+                    data = memoryview(ids.astype("<u4", copy=False)).cast("B")
                     start = 0
                     for doc_id, size in zip(doc_ids, sizes.tolist()):
                         crc = zlib.crc32(data[4 * start : 4 * (start + size)])

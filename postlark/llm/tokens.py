@@ -10,11 +10,14 @@ import pyarrow.compute as pc
 
 from postlark.llm.common import LOWER_WORDS, byte_table, concat_range, dictionary_words, mix64
 
-# How many words a Python worker remembers, at some 70 bytes each, and as much again while
-# words are added. Words met later are encoded when they occur.
+# How many words a Python worker remembers, at some 50 bytes each, and as much again while
+# words are added. Words met later, and those of many ids, are encoded when they occur.
 CACHED_WORDS = 1_000_000
+MOST_IDS = 64
 # The library's results are large objects, so few words are given to it at once.
 AT_ONCE = 10_000
+# Words of a text whose ids are put together at once.
+JOINED_WORDS = 1 << 17
 
 _WORDS = byte_table(lambda byte: not (byte == 0x20 or 0x09 <= byte <= 0x0D), lower=False)
 
@@ -48,10 +51,10 @@ class _Known:
 
     def __init__(self):
         self.words = pa.array([], pa.large_string())
-        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.starts = self.sizes = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
         self.hashes = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
 
     def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each word is kept, and whether it is."""
@@ -66,15 +69,16 @@ class _Known:
 
     def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
         hashes = np.concatenate([self.hashes, _hashes(words)])
-        at = np.concatenate([self.at, len(self.words) + np.arange(len(words))])
+        at = np.concatenate([self.at, len(self.words) + np.arange(len(words), dtype=np.int32)])
         # Two sorted runs merge in one pass; of equal hashes the older word comes first.
         fresh = np.argsort(hashes[len(self.hashes) :], kind="stable") + len(self.hashes)
         order = np.concatenate([np.arange(len(self.hashes)), fresh])
         order = order[np.argsort(hashes[order], kind="stable")]
         self.hashes, self.at = hashes[order], at[order]
         self.words = pa.concat_arrays([self.words, words])
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        starts = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids])
 
 
@@ -148,7 +152,8 @@ class WordEncoder:
         sizes_all[new] = sizes
         values = np.concatenate([known.ids, ids])
         # The more frequent ones first, as there may not be room for all.
-        often = np.argsort(-counts[new], kind="stable")[: max(CACHED_WORDS - len(known.words), 0)]
+        often = np.argsort(-counts[new], kind="stable")
+        often = often[sizes[often] <= MOST_IDS][: max(CACHED_WORDS - len(known.words), 0)]
         if len(often) and lowered:
             places = concat_range(starts_all[new][often] - len(known.ids), sizes[often])
             known.add(fresh.take(pa.array(often)), sizes[often], ids[places])
@@ -160,8 +165,10 @@ class WordEncoder:
         words = dictionary_words(texts, LOWER_WORDS if lowered else _WORDS)
         counts = np.bincount(words.codes, minlength=len(words.dictionary))
         starts, sizes, values = self.words(words.dictionary, counts, lowered)
-        lengths = sizes[words.codes]
-        ids = values[concat_range(starts[words.codes], lengths)]
-        ends = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=ends[1:])
+        ends = np.zeros(len(words.codes) + 1, np.int64)
+        np.cumsum(sizes[words.codes], out=ends[1:])
+        ids = np.empty(int(ends[-1]), np.uint32)
+        for low in range(0, len(words.codes), JOINED_WORDS):
+            codes = words.codes[low : low + JOINED_WORDS]
+            ids[ends[low] : ends[low + len(codes)]] = values[concat_range(starts[codes], sizes[codes])]
         return ids, np.diff(ends[words.offsets])

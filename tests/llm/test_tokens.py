@@ -1,5 +1,7 @@
 """Token ids: word-wise encoding, the coder and the files, against the library's own ids."""
 
+import io
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import pyarrow as pa
-from postlark.llm import token_files, tokens
+from postlark.llm import coder, token_files, tokens
 from postlark.llm.coder import Prior, block_lengths, decode_blocks, encode_blocks
 from postlark.llm.queries import WORD_BPE, op10_token_files
 from postlark.llm.tokens import WordEncoder
@@ -130,3 +132,61 @@ def test_damage_is_noticed(tmp_path):
     path.write_bytes(data)
     with path.open("rb") as file, pytest.raises(ValueError):
         list(token_files.read_groups(file))
+
+
+def most_memory(work):
+    tracemalloc.start()
+    try:
+        result = work()
+        return result, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_packing_and_reading_take_a_few_bytes_per_id():
+    ids = np.random.default_rng(5).integers(0, 40_000, 1 << 20).astype(np.uint32)
+    data, most = most_memory(lambda: token_files.pack_group([1], np.array([len(ids)]), ids))
+    assert most < 18 * len(ids)
+    (group,), most = most_memory(lambda: list(token_files.read_groups(io.BytesIO(data))))
+    assert (group[2] == ids).all() and most < 22 * len(ids)
+
+
+def test_groups_share_one_array(monkeypatch):
+    """Small groups, a document above a group's size, and what comes after it."""
+    monkeypatch.setattr(token_files, "GROUP_IDS", 50)
+    texts = ["a b c"] * 30 + ["x y " * 60] + ["d"] * 40 + [None]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    got, places = [], set()
+    for names, sizes, ids in token_files._groups(iter([batch]), WordEncoder(WORD_BPE), 2):
+        assert len(ids) == sizes.sum() and (len(ids) <= 50 or len(names) == 1)
+        places.add(ids.__array_interface__["data"][0])
+        for name, part in zip(names, np.split(ids.copy(), np.cumsum(sizes)[:-1])):
+            got.append((name, part.tolist()))
+    want = []
+    for name, text in enumerate(texts):
+        ids, _ = WordEncoder(WORD_BPE).encode(pa.array([text], pa.string()))
+        want.append((name, [*ids.tolist(), 2]))
+    assert got == want and len(places) <= 3
+
+
+@pytest.mark.parametrize("high", [3, 70_000, 1 << 21])
+def test_few_many_and_large_ids(high):
+    """Places in one byte pair or more, numbers from a table or by search."""
+    rng = np.random.default_rng(high)
+    ids = np.concatenate([rng.integers(0, high, 300_000), [high - 1]]).astype(np.uint32)
+    symbols, counts = np.unique(ids, return_counts=True)
+    found = coder._counted(ids)
+    assert (found[0] == symbols).all() and (found[1] == counts).all()
+    assert (symbols[coder._places(ids, symbols)] == ids).all()
+    prior, lengths = Prior.of(ids), block_lengths(len(ids), 1024)
+    assert (decode_blocks(encode_blocks(ids, prior, lengths), prior, lengths) == ids).all()
+
+
+def test_words_of_many_ids_are_not_remembered(monkeypatch):
+    encoder = WordEncoder(WORD_BPE)
+    monkeypatch.setattr(encoder, "known", tokens._Known())
+    long = "qzx" * 200
+    first, _ = encoder.encode(pa.array([f"short {long}"]))
+    again, _ = encoder.encode(pa.array([f"{long} short"]))
+    assert encoder.known.words.to_pylist() == ["short"] and sorted(first) == sorted(again)
+    assert max(x.itemsize for x in (encoder.known.starts, encoder.known.sizes, encoder.known.at)) == 4
