@@ -39,7 +39,7 @@ BLOCK_IDS = 1024
 GROUP_IDS = 1 << 22
 END_ID = 2
 # Text that is encoded at once: splitting it takes some twelve times its size.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 
 _HEAD = struct.Struct("<8sIIqqq")
 

@@ -56,25 +56,25 @@ class _Known:
         self.hashes = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int32)
 
-    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, words: pa.Array, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Where each word is kept, and whether it is."""
         if not len(self.words) or not len(words):
             return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        hashes = _hashes(words)
+        hashes = _hashes(words) if hashes is None else hashes
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         at = self.at[place]
         same = self.hashes[place] == hashes
         equal = pc.equal(self.words.take(pa.array(at)), words)
         return at, same & equal.to_numpy(zero_copy_only=False)
 
-    def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
-        hashes = np.concatenate([self.hashes, _hashes(words)])
-        at = np.concatenate([self.at, len(self.words) + np.arange(len(words), dtype=np.int32)])
-        # Two sorted runs merge in one pass; of equal hashes the older word comes first.
-        fresh = np.argsort(hashes[len(self.hashes) :], kind="stable") + len(self.hashes)
-        order = np.concatenate([np.arange(len(self.hashes)), fresh])
-        order = order[np.argsort(hashes[order], kind="stable")]
-        self.hashes, self.at = hashes[order], at[order]
+    def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray | None = None) -> None:
+        hashes = _hashes(words) if hashes is None else hashes
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        # Of equal hashes the older word comes first.
+        place = np.searchsorted(self.hashes, hashes, "right")
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.at = np.insert(self.at, place, (len(self.words) + order).astype(np.int32))
         self.words = pa.concat_arrays([self.words, words])
         starts = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
         self.starts = np.concatenate([self.starts, starts])
@@ -142,7 +142,8 @@ class WordEncoder:
         New words are remembered while there is room.
         """
         known = self.known
-        at, held = known.find(dictionary)
+        hashes = _hashes(dictionary)
+        at, held = known.find(dictionary, hashes)
         new = ~held
         fresh = dictionary.filter(pa.array(new))
         sizes, ids = self._library(fresh, lowered)
@@ -156,7 +157,7 @@ class WordEncoder:
         often = often[sizes[often] <= MOST_IDS][: max(CACHED_WORDS - len(known.words), 0)]
         if len(often) and lowered:
             places = concat_range(starts_all[new][often] - len(known.ids), sizes[often])
-            known.add(fresh.take(pa.array(often)), sizes[often], ids[places])
+            known.add(fresh.take(pa.array(often)), sizes[often], ids[places], hashes[new][often])
         return starts_all, sizes_all, values
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
