@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from postlark.llm.coder import Prior, block_lengths, decode_blocks, encode_blocks
 from postlark.llm.common import release, slices, stored
 from postlark.llm.files import create, each_row, open_stream, unique_name
-from postlark.llm.tokens import WordEncoder
+from postlark.llm.tokens import WordEncoder, forget
 
 # Fixed values of the format.
 MAGIC = b"PLTOKEN2"
@@ -39,7 +39,7 @@ BLOCK_IDS = 1024
 GROUP_IDS = 1 << 22
 END_ID = 2
 # Text that is encoded at once: splitting it takes some twelve times its size.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 _HEAD = struct.Struct("<8sIIqqq")
 
@@ -182,6 +182,24 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     return stored(dealt.mapInArrow(run, _MANIFEST), "token-manifest")
 
 
+def _documents(rows):
+    """What files hold per document; ``rows`` have a path and the number of ids before it."""
+    forget()  # workers are used again, and neither this nor what follows needs the words
+    release()
+    for path, base in rows:
+        with open_stream(path) as file:
+            for doc_ids, sizes, ids in read_groups(file):
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                start = 0
+                for doc_id, size in zip(doc_ids, sizes.tolist()):
+                    crc = zlib.crc32(data[4 * start : 4 * (start + size)])
+                    yield doc_id, base + start, size, crc
+                    start += size
+                base += start
+                del ids, data
+                release()
+
+
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document of the files: ``doc_id, start, n_tokens, ids_crc32``.
 
@@ -189,20 +207,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     manifest, which has a row per file.
     """
 
-    def run(rows):
-        for path, base in rows:
-            with open_stream(path) as file:
-                for doc_ids, sizes, ids in read_groups(file):
-                    data = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                    start = 0
-                    for doc_id, size in zip(doc_ids, sizes.tolist()):
-                        crc = zlib.crc32(data[4 * start : 4 * (start + size)])
-                        yield doc_id, base + start, size, crc
-                        start += size
-                    base += start
-                    del ids, data
-                    release()
-
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = (
@@ -210,4 +214,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         .select("path", "base")
         .repartition(tasks, F.xxhash64("path"))
     )
-    return work.mapInArrow(each_row(run, _DOCS_ARROW), _DOCS)
+    return work.mapInArrow(each_row(_documents, _DOCS_ARROW), _DOCS)

@@ -91,6 +91,11 @@ def _loaded(path: str):
     return Tokenizer.from_file(path), letters, {"": []}, _Known()
 
 
+def forget() -> None:
+    """Let go of the tokenizers and words that this worker holds."""
+    _loaded.cache_clear()
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level tokenizer whose tokens never span white space.
 

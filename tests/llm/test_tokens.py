@@ -190,3 +190,10 @@ def test_words_of_many_ids_are_not_remembered(monkeypatch):
     again, _ = encoder.encode(pa.array([f"{long} short"]))
     assert encoder.known.words.to_pylist() == ["short"] and sorted(first) == sorted(again)
     assert max(x.itemsize for x in (encoder.known.starts, encoder.known.sizes, encoder.known.at)) == 4
+
+
+def test_a_worker_that_reads_lets_go_of_the_words():
+    WordEncoder(WORD_BPE).encode(pa.array(["some words"]))
+    assert tokens._loaded.cache_info().currsize
+    assert list(token_files._documents(iter([]))) == []
+    assert not tokens._loaded.cache_info().currsize
