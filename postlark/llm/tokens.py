@@ -16,6 +16,9 @@ CACHED_WORDS = 1_000_000
 MOST_IDS = 64
 # The library's results are large objects, so few words are given to it at once.
 AT_ONCE = 10_000
+HASHED_BYTES = 64  # at the front of a word, eight at once
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
 # Words of a text whose ids are put together at once.
 JOINED_WORDS = 1 << 17
 
@@ -25,28 +28,47 @@ _WORDS = byte_table(lambda byte: not (byte == 0x20 or 0x09 <= byte <= 0x0D), low
 # Words of lower-case Latin letters and final marks. Their letters and their marks are two
 # pieces to the tokenizer, and normalizing changes neither.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))).replace("\xf7", "")
-_SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)").fullmatch
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()).replace("'", "")
+_SIMPLE = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
+_BARE = f"^[{_LETTERS}]+"
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    """A number per word: its bytes as digits of a polynomial modulo 2**64."""
+    """A number per word: eight bytes after the other, mixed with what the bytes before gave.
+
+    What a long word has after its first bytes are digits of a polynomial modulo 2**64.
+    """
     words = pa.concat_arrays([words])
     if not len(words):
         return np.zeros(0, np.uint64)
     _, ends, data = words.buffers()
     ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
     starts, sizes = ends[:-1] - ends[0], np.diff(ends)
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
-    powers = np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64).cumprod()
-    raw *= powers[concat_range(np.zeros(len(sizes), np.int64), sizes)]
-    return mix64(np.add.reduceat(raw, starts))
+    raw = np.zeros(int(ends[-1] - ends[0]) + 8, np.uint8)
+    if data is not None:
+        raw[:-8] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    eight = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))  # those from each byte on
+    out = sizes.astype(np.uint64)
+    for low in range(0, HASHED_BYTES, 8):
+        more = np.flatnonzero(sizes > low)
+        part = eight[starts[more] + low] & _LOWEST[np.minimum(sizes[more] - low, 8)]
+        mixed = (out[more] ^ part) * _ODD
+        out[more] = mixed ^ (mixed >> np.uint64(29))
+    long = np.flatnonzero(sizes > HASHED_BYTES)
+    if len(long):
+        left = sizes[long] - HASHED_BYTES
+        digits = raw[concat_range(starts[long] + HASHED_BYTES, left)].astype(np.uint64) + np.uint64(1)
+        digits *= np.full(int(left.max()), _ODD).cumprod()[concat_range(np.zeros(len(left), np.int64), left)]
+        out[long] ^= np.add.reduceat(digits, np.cumsum(left) - left)
+    return mix64(out)
 
 
 class _Known:
-    """The words a worker has encoded so far, found by a sorted table of their hashes.
+    """The words a worker has encoded so far, found by a hash table.
 
-    The table outlives batches: a batch costs a search per word of its own, not a table
-    of all words. Of words with one hash the first stays; others are never known.
+    The table outlives batches: a batch costs a few looks per word of its own, not a table
+    of all words. ``at`` has the words' places, a word's at the first free one after what its
+    hash says; at most half of it is used. Of words with one hash only one is ever found.
     """
 
     def __init__(self):
@@ -54,32 +76,48 @@ class _Known:
         self.starts = self.sizes = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
         self.hashes = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int32)
+        self.at = np.full(1 << 10, -1, np.int32)
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.at) - 1)).astype(np.int64)
 
     def find(self, words: pa.Array, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Where each word is kept, and whether it is."""
         if not len(self.words) or not len(words):
             return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         hashes = _hashes(words) if hashes is None else hashes
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        at = self.at[place]
-        same = self.hashes[place] == hashes
-        equal = pc.equal(self.words.take(pa.array(at)), words)
-        return at, same & equal.to_numpy(zero_copy_only=False)
+        out, last = np.full(len(words), -1, np.int32), len(self.at) - 1
+        open_, place = np.arange(len(words)), self._first(hashes)
+        while len(open_):
+            at = self.at[place]
+            same = (self.hashes[at] == hashes[open_]) & (at >= 0)
+            out[open_[same]] = at[same]
+            more = np.flatnonzero((at >= 0) & ~same)
+            open_, place = open_[more], (place[more] + 1) & last
+        held = np.flatnonzero(out >= 0)
+        equal = pc.equal(self.words.take(pa.array(out[held])), words.take(pa.array(held)))
+        found = np.zeros(len(words), bool)
+        found[held] = equal.to_numpy(zero_copy_only=False)
+        return np.maximum(out, 0), found
 
     def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray | None = None) -> None:
         hashes = _hashes(words) if hashes is None else hashes
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        # Of equal hashes the older word comes first.
-        place = np.searchsorted(self.hashes, hashes, "right")
-        self.hashes = np.insert(self.hashes, place, hashes)
-        self.at = np.insert(self.at, place, (len(self.words) + order).astype(np.int32))
+        numbers = np.arange(len(self.words), len(self.words) + len(words), dtype=np.int32)
+        self.hashes = np.concatenate([self.hashes, hashes])
         self.words = pa.concat_arrays([self.words, words])
         starts = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
         self.starts = np.concatenate([self.starts, starts])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids])
+        if 2 * len(self.words) > len(self.at):
+            self.at = np.full(1 << (2 * len(self.words) - 1).bit_length(), -1, np.int32)
+            numbers = np.arange(len(self.words), dtype=np.int32)
+        place, last = self._first(self.hashes[numbers]), len(self.at) - 1
+        while len(numbers):
+            free = self.at[place] < 0
+            self.at[place[free]] = numbers[free]  # of several words one gets the place
+            more = np.flatnonzero(self.at[place] != numbers)
+            numbers, place = numbers[more], (place[more] + 1) & last
 
 
 @lru_cache(maxsize=2)
@@ -87,8 +125,9 @@ def _loaded(path: str):
     from tokenizers import Tokenizer, pre_tokenizers
 
     spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    letters = {ord(letter): spell(letter)[0][0] for letter in _LETTERS}
-    return Tokenizer.from_file(path), letters, {"": []}, _Known()
+    # The tokenizer's characters for the bytes that are not spelt as themselves.
+    pairs = [(chr(byte), char) for letter in _LETTERS for byte, char in zip(letter.encode(), spell(letter)[0][0])]
+    return Tokenizer.from_file(path), {byte: char for byte, char in pairs if byte != char}, {"": []}, _Known()
 
 
 def forget() -> None:
@@ -96,6 +135,24 @@ def forget() -> None:
     _loaded.cache_clear()
 
 
+def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of lists of ids, and all ids."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+
+def _merged(places: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids put where ``places`` say, from several sizes and joined ids."""
+    sizes = np.empty(sum(map(len, places)), np.int64)
+    for at, (own, _) in zip(places, found):
+        sizes[at] = own
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    for at, (own, ids) in zip(places, found):
+        out[concat_range(starts[at], own)] = ids
+    return sizes, out
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level tokenizer whose tokens never span white space.
 
@@ -118,29 +175,47 @@ class WordEncoder:
     def _library(self, words: pa.Array, lowered: bool) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words that are not known yet."""
         sizes, parts = [], []
-        merge, letters = self.tokenizer.model.tokenize, self.letters
         for start in range(0, len(words), AT_ONCE):
-            texts = words.slice(start, AT_ONCE).to_pylist()
-            found: list = [None] * len(texts)
-            others = []
-            for i, text in enumerate(texts):
-                simple = _SIMPLE(text) if lowered else None
-                if simple:
-                    ids = [token.id for token in merge(simple[1].translate(letters))]
-                    found[i] = ids + self._marks(simple[2]) if simple[2] else ids
-                else:
-                    others.append(i)
-            encoded = self.tokenizer.encode_batch_fast(
-                [texts[i] for i in others], add_special_tokens=False
-            )
-            for i, encoding in zip(others, encoded):
-                found[i] = encoding.ids
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum()))
-            parts.append(ids)
+            some, simple = words.slice(start, AT_ONCE), None
+            if lowered:
+                simple = pc.match_substring_regex(some, _SIMPLE)
+            if simple is None or not pc.any(simple).as_py():
+                found = self._pieces(some)
+            else:
+                other = pc.invert(simple)
+                places = [np.flatnonzero(mask.to_numpy(zero_copy_only=False)) for mask in (simple, other)]
+                found = _merged(places, [self._simple(some.filter(simple)), self._pieces(some.filter(other))])
+            sizes.append(found[0])
+            parts.append(found[1])
         none = np.zeros(0, np.uint32)
         return np.concatenate([none.astype(np.int64), *sizes]), np.concatenate([none, *parts])
 
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+        return _joined([encoding.ids for encoding in found])
+
+    def _simple(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bare = pc.ascii_rtrim(words, _MARKS)
+        spelt = " ".join(bare.to_pylist()).encode().decode("latin-1")
+        for byte, char in self.letters.items():
+            spelt = spelt.replace(byte, char)
+        merge = self.tokenizer.model.tokenize
+        sizes, ids = _joined([[token.id for token in merge(letters)] for letters in spelt.split(" ")])
+        marked = pc.less(pc.binary_length(bare), pc.binary_length(words))
+        marks = pc.replace_substring_regex(words.filter(marked), _BARE, "").dictionary_encode()
+        if not len(marks):
+            return sizes, ids
+        own_sizes, own = _joined([self._marks(text) for text in marks.dictionary.to_pylist()])
+        codes = marks.indices.to_numpy()
+        which = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        after = np.zeros(len(sizes), np.int64)
+        after[which] = own_sizes[codes]
+        begin = np.cumsum(own_sizes) - own_sizes
+        # Letters have the even places and marks the odd ones.
+        pieces = np.arange(len(sizes)) * 2
+        both, out = _merged([pieces, pieces + 1], [(sizes, ids), (after, own[concat_range(begin[codes], after[which])])])
+        return both.reshape(-1, 2).sum(axis=1), out
+
     def words(self, dictionary: pa.Array, counts: np.ndarray, lowered: bool = True):
         """Starts and sizes of the different words' ids, and those ids.
 
@@ -149,20 +224,21 @@ class WordEncoder:
         known = self.known
         hashes = _hashes(dictionary)
         at, held = known.find(dictionary, hashes)
-        new = ~held
-        fresh = dictionary.filter(pa.array(new))
+        at, new = at[held], np.flatnonzero(~held)
+        fresh = dictionary.take(pa.array(new))
         sizes, ids = self._library(fresh, lowered)
-        starts_all, sizes_all = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        starts_all[~new], sizes_all[~new] = known.starts[at[~new]], known.sizes[at[~new]]
-        starts_all[new] = len(known.ids) + np.cumsum(sizes) - sizes
-        sizes_all[new] = sizes
-        values = np.concatenate([known.ids, ids])
+        # Together, as the ids of all known words are many more than those of these words.
+        own = known.sizes[at].astype(np.int64)
+        told = own, known.ids[concat_range(known.starts[at].astype(np.int64), own)]
+        sizes_all, values = _merged([np.flatnonzero(held), new], [told, (sizes, ids)])
+        starts_all = np.cumsum(sizes_all) - sizes_all
         # The more frequent ones first, as there may not be room for all.
-        often = np.argsort(-counts[new], kind="stable")
-        often = often[sizes[often] <= MOST_IDS][: max(CACHED_WORDS - len(known.words), 0)]
-        if len(often) and lowered:
-            places = concat_range(starts_all[new][often] - len(known.ids), sizes[often])
-            known.add(fresh.take(pa.array(often)), sizes[often], ids[places], hashes[new][often])
+        room = max(CACHED_WORDS - len(known.words), 0) if lowered else 0
+        if room and len(new):
+            often = np.argsort(-counts[new], kind="stable")
+            often = often[sizes[often] <= MOST_IDS][:room]
+            places = concat_range((np.cumsum(sizes) - sizes)[often], sizes[often])
+            known.add(fresh.take(pa.array(often)), sizes[often], ids[places], hashes[new[often]])
         return starts_all, sizes_all, values
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -197,3 +197,59 @@ def test_a_worker_that_reads_lets_go_of_the_words():
     assert tokens._loaded.cache_info().currsize
     assert list(token_files._documents(iter([]))) == []
     assert not tokens._loaded.cache_info().currsize
+
+
+def test_words_with_final_marks_need_no_search_for_pieces():
+    """Any ASCII marks but the apostrophe; what else there is goes to the library as a whole."""
+    encoder, asked = WordEncoder(WORD_BPE), []
+
+    class Library:
+        model = encoder.tokenizer.model
+
+        def encode(self, text, **kwargs):
+            return tokens._loaded(WORD_BPE)[0].encode(text, **kwargs)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            asked.extend(texts)
+            return tokens._loaded(WORD_BPE)[0].encode_batch_fast(texts, **kwargs)
+
+    encoder.tokenizer = Library()
+    words = ["word***", "été&&&", "straße#,", "a$$$", "plain", "ÿ(", "xaÿ", "don't", "b'", "Éa", "7up", "***", "a*b"]
+    sizes, ids = encoder._library(pa.array(words, pa.large_string()), True)
+    want = [Tokenizer.from_file(WORD_BPE).encode(word, add_special_tokens=False).ids for word in words]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert asked == ["don't", "b'", "Éa", "7up", "***", "a*b"]
+
+
+def test_known_words_are_looked_up_in_a_half_empty_table():
+    known = tokens._Known()
+    names = pa.array([f"w{i}" for i in range(5000)], pa.large_string())
+    known.add(names, np.full(5000, 1), np.arange(5000, dtype=np.uint32))
+    assert 2 * len(names) <= len(known.at) <= 4 * len(names) and (known.at >= 0).sum() == len(names)
+    at, held = known.find(names)
+    assert held.all() and (at == np.arange(5000)).all()
+
+
+def test_long_words_that_differ_anywhere_have_different_hashes():
+    base = "x" * 150
+    words = [base, base + "x"] + [base[:i] + "y" + base[i + 1 :] for i in range(150)] + ["", "\0", "\0\0", "x"]
+    words = pa.array(words, pa.large_string())
+    hashes = tokens._hashes(words)
+    assert len(set(hashes.tolist())) == len(words)
+    assert (tokens._hashes(words.slice(7)) == hashes[7:]).all()
+
+
+def test_the_bytes_of_a_group_stay_the_same():
+    rng = np.random.default_rng(11)
+    ids = np.minimum(rng.zipf(1.2, 200_000), 50_000).astype(np.uint32)
+    ids[:60_000] = np.tile(ids[:300], 200)
+    assert zlib.crc32(token_files.pack_group([1, None], np.array([5, 199_995]), ids)) == 237936142
+
+
+def test_words_between_blanks_are_numbered_as_they_come():
+    from postlark.llm.common import dictionary_words
+
+    texts = pa.array(["skipped", " B  a", None, "", "a\n", "c B"]).slice(1)
+    words = dictionary_words(texts)
+    assert words.dictionary.to_pylist() == ["b", "a", "c"]
+    assert words.codes.tolist() == [0, 1, 1, 2, 0] and words.offsets.tolist() == [0, 2, 2, 2, 3, 5]
