@@ -25,12 +25,13 @@ JOINED_WORDS = 1 << 17
 _WORDS = byte_table(lambda byte: not (byte == 0x20 or 0x09 <= byte <= 0x0D), lower=False)
 
 
-# Words of lower-case Latin letters and final marks. Their letters and their marks are two
-# pieces to the tokenizer, and normalizing changes neither.
+# Words of Latin letters (A-Z lower-cased before) and final marks. Their letters and their marks
+# are two pieces to the tokenizer, and normalizing does no more than lower the letters.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))).replace("\xf7", "")
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()).replace("'", "")
-_SIMPLE = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
-_BARE = f"^[{_LETTERS}]+"
+_HIGH = _LETTERS + _LETTERS[27:].upper().replace("\u0178", "")  # not that of y with two dots
+_SIMPLE = f"^[{_HIGH}]+[{re.escape(_MARKS)}]*$"
+_BARE = f"^[{_HIGH}]+"
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -135,6 +136,11 @@ def forget() -> None:
     _loaded.cache_clear()
 
 
+def _texts(words: pa.Array) -> list[str]:
+    """As ``to_pylist``, in a tenth of the time."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The sizes of lists of ids, and all ids."""
     sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -191,12 +197,12 @@ class WordEncoder:
         return np.concatenate([none.astype(np.int64), *sizes]), np.concatenate([none, *parts])
 
     def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(_texts(words), add_special_tokens=False)
         return _joined([encoding.ids for encoding in found])
 
     def _simple(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bare = pc.ascii_rtrim(words, _MARKS)
-        spelt = " ".join(bare.to_pylist()).encode().decode("latin-1")
+        spelt = " ".join(_texts(bare)).lower().encode().decode("latin-1")
         for byte, char in self.letters.items():
             spelt = spelt.replace(byte, char)
         merge = self.tokenizer.model.tokenize
